@@ -24,14 +24,50 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_TOKENIZER))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hexadecimal, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hexadecimal("print").alias("fingerprint"), "component_id")
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeated_passages import repeat_digests
+
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .avi_jpeg import media_column, media_digests
+
+    return media_digests(media_column(table(spark, sf_dir, "documents")))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), vocabulary(WORD_TOKENIZER)))
 
 
+def op8_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunk_bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), vocabulary(BYTE_TOKENIZER))
+
+
+def op9_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bloom_sketch import edit_fingerprints
+
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_simhash": op3_simhash,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_media": op6_media,
     "op7_token_files": op7_token_files,
+    "op8_chunk_bpe": op8_chunk_bpe,
+    "op9_bloom_sketch": op9_bloom_sketch,
 }
 ORACLE_SQL: dict[str, str] = {}
