@@ -24,6 +24,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_TOKENIZER))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hexadecimal, near_duplicates
 
@@ -37,6 +43,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .avi_jpeg import media_column, media_digests
 
@@ -61,13 +73,50 @@ def op9_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fixity import archive, audit, damaged_replica, leaves
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return audit(leaves(archive(pages)), leaves(archive(damaged_replica(pages))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_main_text": op2_main_text,
     "op3_simhash": op3_simhash,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_quality": op5_quality,
     "op6_media": op6_media,
     "op7_token_files": op7_token_files,
     "op8_chunk_bpe": op8_chunk_bpe,
     "op9_bloom_sketch": op9_bloom_sketch,
+    "op10_fixity": op10_fixity,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_fixity": """
+        WITH pages_ AS (
+            SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+                   CAST(floor(page_id / 1024.0) AS BIGINT) AS segment
+            FROM pages WHERE page_id IS NOT NULL
+        ), records AS (
+            SELECT page_id, segment,
+                   'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                   || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+                   || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+                   || 'Content-Type: text/html' || chr(13) || chr(10)
+                   || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10)
+                   || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+            FROM pages_
+        ), hashed AS (
+            SELECT page_id, segment, CAST(octet_length(encode(record)) AS BIGINT) AS length, sha256(record) AS digest
+            FROM records
+        )
+        SELECT page_id, segment,
+               CAST(row_number() OVER w - 1 AS BIGINT) AS position,
+               CAST(coalesce(sum(length) OVER (PARTITION BY segment ORDER BY page_id, digest
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+               length, digest,
+               CASE WHEN page_id % 389 = 7 THEN 'missing' WHEN page_id % 97 = 13 THEN 'damaged' ELSE 'ok' END AS status
+        FROM hashed WINDOW w AS (PARTITION BY segment ORDER BY page_id, digest)
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
