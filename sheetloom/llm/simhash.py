@@ -56,16 +56,17 @@ def simhash(text: bytes, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and print, the fingerprint as a signed long."""
+    """doc_id, text_hash (XXH64) and print, the fingerprint as a signed long."""
     bound_batches(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: Texts = texts_of(batch.column("text"))
             prints = np.array([simhash(t, size) for t in texts], np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints.view(np.int64))], names=["doc_id", "text_hash", "print"])
 
-    return id_and_text(docs).mapInArrow(compute, "doc_id long, print long")
+    hashed = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    return hashed.mapInArrow(compute, "doc_id long, text_hash long, print long")
 
 
 def print_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
@@ -95,16 +96,29 @@ def print_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """doc_id, print and component_id: the least doc_id that links reach, the row's own included."""
+    """doc_id, text_hash, print, and of the component its least print and component_id, the least
+    doc_id that links reach (the row's own included)."""
     spark = docs.sparkSession
     own = materialize(fingerprints(docs, size), "fingerprints")
     first = materialize(own.groupBy("print").agg(F.min("doc_id").alias("least")), "prints")
     joined = materialize(components(print_links(first.repartition(partitions(spark)), bits)), "print-components")
     members = joined.join(first, F.col("node") == F.col("print")).select("print", "component", "least")
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = members.join(least, "component").select("print", "component_id")
-    classes = first.join(linked, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(classes, "print").select("doc_id", "print", "component_id")
+    linked = members.join(least, "component").select("print", "component", "component_id")
+    classes = first.join(linked, "print", "left").select("print", F.coalesce("component", "print").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+    classes = materialize(classes, "print-classes")  # then the join below is one that Spark can split where a print is hot
+    return own.join(classes, "print").select("doc_id", "text_hash", "print", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """docs, all columns, with one row of every component: that of the least doc_id (null ids come
+    last; equal ids are ordered by a hash of their texts)."""
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    found = near_duplicates(docs, size, bits).groupBy("component").agg(F.min(first).alias("first"))
+    kept = found.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    row = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text"), F.struct(*docs.columns).alias("row"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    return row.join(kept, same, "left_semi").dropDuplicates(["_doc", "_text"]).select("row.*")
 
 
 def hexadecimal(column: str) -> Column:
