@@ -45,7 +45,7 @@ def repeated_selectors(rules_: DataFrame) -> DataFrame:
 
 def shortest_spelling(decls: DataFrame) -> DataFrame:
     """The shortest value of each key and scope that is in the source; the first of equal ones."""
-    rank = F.struct(F.length("value"), "rule_pos", "decl_pos")
+    rank = F.struct(F.length("value"), "rule_pos", "decl_pos", "value")
     return decls.groupBy("sheet_id", "scope_key", "decl_key").agg(F.min_by("value", rank).alias("value"))
 
 

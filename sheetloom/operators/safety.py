@@ -58,7 +58,7 @@ def blockers(decls: DataFrame, overlaps: DataFrame) -> DataFrame:
     own = members(decls).select(*SCOPE, "decl_key", "rule_id")
     inside = fenced.join(touched, [*SCOPE, "touches"]).where("rule_pos > first_pos AND rule_pos < last_pos")
     others = inside.join(own, [*SCOPE, "decl_key", "rule_id"], "left_anti")
-    nearest = F.struct("rule_pos", "decl_pos")
+    nearest = F.struct("rule_pos", "decl_pos", "prop_norm")
     return others.groupBy(*SCOPE, "decl_key").agg(F.min_by("rule_id", nearest).alias("rule_id"), F.min_by("prop_norm", nearest).alias("prop_norm"), F.min("rule_pos").alias("rule_pos"))
 
 
