@@ -43,15 +43,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, partitions, texts_of
+from .common import Texts, bound_batches, partitions, texts_of
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a shard and names in a bucket, about; and bytes looked at together.
-SHARD_BYTES, BUCKET_NAMES, PORTION = 16 << 20, 1 << 20, 1 << 20
+SHARD_BYTES, BUCKET_NAMES, PORTION = 8 << 20, 1 << 19, 1 << 18
 HOT_PHRASES = 4096
 MESSAGE = "at long, sender long, kind int, body binary"
 #: Kinds of messages: anchors, phrases, bytes of phrases, names of windows.
 ANCHORS, PHRASES, BYTES, WINDOWS = range(4)
+KEPT = 4  # a shard's mail so far, in one message to itself
 _ONE = (1 << 64) - 1
 
 
@@ -148,6 +149,10 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: Anchors are least hashes, so their hashes crowd at zero; names spread them evenly over buckets.
+_SPREAD = np.uint64(0x5851F42D4C957F2D)
+
+
 def phrases(texts: Texts) -> Phrases:
     found: list[Phrases] = []
     for lo, hi, spans, numbers in _portions(texts):
@@ -176,7 +181,7 @@ def phrases(texts: Texts) -> Phrases:
         second = SECOND.sums(data)
         whole = (second[start + count - 1 + LENGTH] - second[start]) * SECOND.inverse[start]
         shape = ((anchor - start) * (LENGTH + 1) + count).astype(np.uint64)
-        found.append(Phrases(numbers[own], start + lo, count, grams[anchor], mix(whole ^ mix(shape))))
+        found.append(Phrases(numbers[own], start + lo, count, mix(grams[anchor] ^ _SPREAD), mix(whole ^ mix(shape))))
     if not found:
         return Phrases(*(np.empty(0, np.int64) for _ in range(3)), *(np.empty(0, np.uint64) for _ in range(2)))
     return Phrases(*(np.concatenate([getattr(p, f) for p in found]) for f in Phrases.__dataclass_fields__))
@@ -248,8 +253,8 @@ class Shard:
         self.texts = texts_of(shard.column("text"))
         self.ids = _ids(shard)
         self.mail: dict[int, dict[int, bytes]] = {k: {} for k in range(4)}
-        for row in mail.to_pylist():
-            self.mail[row["kind"]][row["sender"]] = row["body"]
+        for sender, kind, body in _opened(mail):
+            self.mail[kind][sender] = body
         parts = [_names(*_load(body)) for body in self.mail[ANCHORS].values()]
         shared = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
         found = phrases(self.texts)
@@ -404,9 +409,18 @@ def _ask_windows(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return ask
 
 
+def _opened(mail: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+    """(sender, kind, body) of a shard's mail, what it kept included."""
+    for row in mail.to_pylist():
+        if row["kind"] == KEPT:
+            yield from _load(row["body"])
+        else:
+            yield row["sender"], row["kind"], row["body"]
+
+
 def _kept(me: int, mail: pa.Table) -> list[tuple[int, int, int, bytes]]:
-    """A shard's mail, addressed to itself for the next round."""
-    return [(-1 - me, r["sender"], r["kind"], r["body"]) for r in mail.to_pylist()]
+    """A shard's mail as one message to itself, for the next round."""
+    return [(-1 - me, me, KEPT, pickle.dumps(list(_opened(mail)), 5))]
 
 
 def _rank_phrases(asked: list[dict]) -> Iterator[bytes]:
@@ -453,9 +467,10 @@ def _tell(mail: pa.Table) -> pa.Table:
 def _removal(docs: DataFrame, finish: Callable[[pa.Table, Texts, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """docs (doc_id, text, ...) in shards; finish gets a shard, its texts and which bytes go."""
     spark = docs.sparkSession
+    bound_batches(spark)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(partitions(spark), -(-n_bytes // SHARD_BYTES))
-    n_buckets = max(1, partitions(spark), -(-2 * n_bytes // ((LENGTH - GRAM + 2) * BUCKET_NAMES)))
+    n_buckets = max(8, -(-2 * n_bytes // ((LENGTH - GRAM + 2) * BUCKET_NAMES)))
     shards = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)))
 
     def end(shard: pa.Table, mail: pa.Table) -> pa.Table:
