@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SPAN, FANOUT = 1024, 16
+SPAN, FANOUT = 1024, 64
 
 
 def record(page_id: Column, url: Column, content: Column) -> Column:
@@ -57,58 +57,61 @@ def leaves(records: DataFrame) -> DataFrame:
 def _up(nodes: DataFrame) -> DataFrame:
     """The next level: FANOUT nodes in order make one, with the hash of their digests and ranges."""
     child = F.struct("node", "digest", "start", "length")
-    grouped = nodes.groupBy("segment", F.floor(F.col("node") / FANOUT).cast("long").alias("up")).agg(F.array_sort(F.collect_list(child)).alias("children"))
+    grouped = nodes.groupBy("replica", "segment", F.floor(F.col("node") / FANOUT).cast("long").alias("up")).agg(F.array_sort(F.collect_list(child)).alias("children"))
     text = F.concat_ws("", F.transform("children", lambda c: F.concat_ws(",", c["digest"], c["start"].cast("string"), c["length"].cast("string"), F.lit(""))))
     total = F.aggregate("children", F.lit(0).cast("long"), lambda a, c: a + c["length"])
-    return grouped.select("segment", F.col("up").alias("node"), F.sha2(text, 256).alias("digest"), F.col("children")[0]["start"].alias("start"), total.alias("length"))
+    return grouped.select("replica", "segment", F.col("up").alias("node"), F.sha2(text, 256).alias("digest"), F.col("children")[0]["start"].alias("start"), total.alias("length"))
 
 
-def shape(leaf: DataFrame) -> tuple[int, int, int]:
-    """Largest position, least and largest segment."""
-    row = leaf.agg(F.max("position"), F.min("segment"), F.max("segment")).first()
-    return (row[0], row[1], row[2]) if row[0] is not None else (0, 0, 0)
+def trees(*leaves_: DataFrame) -> tuple[list[DataFrame], int]:
+    """Levels from leaves to roots of all replicas together: (replica, segment, node, digest,
+    start, length); and the number of the first level above segments, where segment is 0 and nodes
+    count segments (floored when divided, so that they may be negative).
 
-
-def tree(leaf: DataFrame, most: int, low: int, high: int) -> tuple[list[DataFrame], int]:
-    """Levels from leaves to the root, each (segment, node, digest, start, length), of the given
-    shape; and the number of the first level above segments, where segment is 0 and nodes count
-    segments (floored when divided, so that they may be negative)."""
-    levels, wide = [leaf.select("segment", F.col("position").alias("node"), "digest", "start", "length")], 1
+    Each level above the leaves is written: it is FANOUT times smaller than the one below, and the
+    descent reads it again. How many there are follows from three numbers.
+    """
+    whole = None
+    for k, leaf in enumerate(leaves_):
+        own = leaf.select(F.lit(k).alias("replica"), "segment", F.col("position").alias("node"), "digest", "start", "length")
+        whole = own if whole is None else whole.union(own)
+    row = whole.agg(F.max("node"), F.min("segment"), F.max("segment")).first()
+    most, low, high = (0, 0, 0) if row[0] is None else row
+    levels, wide = [whole], 1
     while wide <= most:
-        levels.append(_up(levels[-1]))
+        levels.append(materialize(_up(levels[-1]), "tree"))
         wide *= FANOUT
     seam = len(levels)
     zero = F.lit(0).cast("long")
-    levels.append(levels[-1].select(zero.alias("segment"), F.col("segment").alias("node"), "digest", zero.alias("start"), "length"))
+    levels.append(levels[-1].select("replica", zero.alias("segment"), F.col("segment").alias("node"), "digest", zero.alias("start"), "length"))
     while low != high:
-        levels.append(_up(levels[-1]))
+        levels.append(materialize(_up(levels[-1]), "tree"))
         low, high = low // FANOUT, high // FANOUT
     return levels, seam
 
 
 def root(leaf: DataFrame) -> DataFrame:
     """The archive's root: one row, or none for an empty archive."""
-    return tree(leaf, *shape(leaf))[0][-1].select("digest", "length")
+    return trees(leaf)[0][-1].select("digest", "length")
 
 
-def _differ(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Nodes of one level that are not the same in both."""
-    theirs = b.select("segment", "node", F.col("digest").alias("_digest"), F.col("start").alias("_start"), F.col("length").alias("_length"))
-    both = a.join(theirs, ["segment", "node"], "full_outer")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("digest", "start", "length")]
-    return both.where(~(same[0] & same[1] & same[2])).select("segment", "node")
+def _differ(nodes: DataFrame) -> DataFrame:
+    """Nodes of one level that are not the same in both replicas."""
+    same = F.count(F.lit(1)) == 2
+    for c in ("digest", "start", "length"):
+        same = same & (F.min(c) == F.max(c))
+    return nodes.groupBy("segment", "node").agg(same.alias("same")).where("NOT same").select("segment", "node")
 
 
 def differing_leaves(first: DataFrame, second: DataFrame) -> DataFrame:
     """(segment, node) of the leaves that differ in two replicas' ``leaves``, by descent."""
-    of_both = shape(first.union(second))
-    (ours, seam), (theirs, _) = tree(first, *of_both), tree(second, *of_both)
-    found = _differ(ours[-1], theirs[-1])
-    for k in range(len(ours) - 2, -1, -1):
+    levels, seam = trees(first, second)
+    found = materialize(_differ(levels[-1]), "differ")
+    for k in range(len(levels) - 2, -1, -1):
         above = found.select(F.col("segment").alias("_s"), F.col("node").alias("_n"))
         segment, node = (F.lit(0), F.col("segment")) if k == seam - 1 else (F.col("segment"), F.floor(F.col("node") / FANOUT))
         under = (segment == F.col("_s")) & (node == F.col("_n"))
-        found = _differ(ours[k].join(above, under, "left_semi"), theirs[k].join(above, under, "left_semi"))
+        found = materialize(_differ(levels[k].join(above, under, "left_semi")), "differ")
     return found
 
 
@@ -120,7 +123,7 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     before it is missing, is ok.
     """
     place = [F.col("segment") == F.col("_s"), F.col("position") == F.col("_n")]
-    suspect = materialize(differing_leaves(first, second), "suspects").select(F.col("segment").alias("_s"), F.col("node").alias("_n"))
+    suspect = differing_leaves(first, second).select(F.col("segment").alias("_s"), F.col("node").alias("_n"))
     again = Window.partitionBy("segment", "page_id", "digest").orderBy("position")
     ours, theirs = (x.join(suspect, place, "left_semi").withColumn("again", F.row_number().over(again)) for x in (first, second))
     key = ["segment", "page_id", "digest", "again"]
