@@ -212,6 +212,8 @@ def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 def _cut(names: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of the ranges of ascending names that hold any."""
+    if not len(names):
+        return []
     bucket = ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
     return list(zip(bucket[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(names)], strict=True))
