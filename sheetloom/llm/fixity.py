@@ -8,8 +8,8 @@ one root of the archive. Two replicas are compared from the root down: a level's
 at only under nodes that differ one level above, so what is read grows with the damage and not
 with the archive. Everything is DataFrame operations.
 
-Defined cases: null url or html is empty; null page_ids are spread over SPAN segments of their own
-and ordered by url and content; rows of equal page_id are ordered by content, equal rows are
+Defined cases: null url or html is empty; null page_ids are spread over SPAN segments
+below zero and ordered by content; rows of equal page_id are ordered by content, equal rows are
 separate records; a record that one replica lacks is "missing" or "extra"; an empty archive has no
 root and equals only an empty one; other columns are ignored.
 """
@@ -37,7 +37,7 @@ def archive(pages: DataFrame) -> DataFrame:
     """page_id, segment and record of every page."""
     page_id = F.col("page_id").cast("long")
     url, content = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("url", "html"))
-    segment = F.when(page_id.isNotNull(), F.floor(page_id / SPAN)).otherwise(-1 - (1 << 60) - F.pmod(F.xxhash64(url, content), F.lit(SPAN)))
+    segment = F.when(page_id.isNotNull(), F.floor(page_id / SPAN)).otherwise(-1 - F.pmod(F.xxhash64(url, content), F.lit(SPAN)))
     return pages.select(page_id.alias("page_id"), segment.cast("long").alias("segment"), record(page_id, url, content).alias("record"))
 
 
@@ -63,10 +63,10 @@ def _up(nodes: DataFrame) -> DataFrame:
     return grouped.select("replica", "segment", F.col("up").alias("node"), F.sha2(text, 256).alias("digest"), F.col("children")[0]["start"].alias("start"), total.alias("length"))
 
 
-def trees(*leaves_: DataFrame) -> tuple[list[DataFrame], int]:
+def trees(*leaves_: DataFrame) -> tuple[list[DataFrame], int, int]:
     """Levels from leaves to roots of all replicas together: (replica, segment, node, digest,
-    start, length); and the number of the first level above segments, where segment is 0 and nodes
-    count segments (floored when divided, so that they may be negative).
+    start, length); the number of the first level above segments, where segment is 0 and nodes
+    count segments from the least one on; and that least segment.
 
     Each level above the leaves is written: it is FANOUT times smaller than the one below, and the
     descent reads it again. How many there are follows from three numbers.
@@ -83,11 +83,12 @@ def trees(*leaves_: DataFrame) -> tuple[list[DataFrame], int]:
         wide *= FANOUT
     seam = len(levels)
     zero = F.lit(0).cast("long")
-    levels.append(levels[-1].select("replica", zero.alias("segment"), F.col("segment").alias("node"), "digest", zero.alias("start"), "length"))
-    while low != high:
+    levels.append(levels[-1].select("replica", zero.alias("segment"), (F.col("segment") - F.lit(low)).alias("node"), "digest", zero.alias("start"), "length"))
+    last = high - low
+    while last:
         levels.append(materialize(_up(levels[-1]), "tree"))
-        low, high = low // FANOUT, high // FANOUT
-    return levels, seam
+        last //= FANOUT
+    return levels, seam, low
 
 
 def root(leaf: DataFrame) -> DataFrame:
@@ -105,11 +106,11 @@ def _differ(nodes: DataFrame) -> DataFrame:
 
 def differing_leaves(first: DataFrame, second: DataFrame) -> DataFrame:
     """(segment, node) of the leaves that differ in two replicas' ``leaves``, by descent."""
-    levels, seam = trees(first, second)
+    levels, seam, low = trees(first, second)
     found = materialize(_differ(levels[-1]), "differ")
     for k in range(len(levels) - 2, -1, -1):
         above = found.select(F.col("segment").alias("_s"), F.col("node").alias("_n"))
-        segment, node = (F.lit(0), F.col("segment")) if k == seam - 1 else (F.col("segment"), F.floor(F.col("node") / FANOUT))
+        segment, node = (F.lit(0), F.col("segment") - F.lit(low)) if k == seam - 1 else (F.col("segment"), F.floor(F.col("node") / FANOUT))
         under = (segment == F.col("_s")) & (node == F.col("_n"))
         found = materialize(_differ(levels[k].join(above, under, "left_semi")), "differ")
     return found
