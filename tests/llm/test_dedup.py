@@ -8,6 +8,7 @@ from sheetloom.llm import repeated_passages as R
 from sheetloom.llm.common import texts_of
 from sheetloom.llm.components import components
 from sheetloom.llm.repeated_passages import repeat_digests, without_repeats
+from sheetloom.llm.similar import near_groups, shingle_set
 from sheetloom.llm.simhash import hexadecimal, near_duplicates, one_of_each, simhash
 from sheetloom.llm.vantage import grow, spanning_links
 
@@ -185,3 +186,40 @@ def test_texts_without_repeats(spark):
     assert kept[0] == original[0] and kept[1] == "" and kept[9] != original[9] and prose(70, 99) not in kept[9] and kept[12] == original[12]
     (row,) = [r for r in repeat_digests(df, spans=True).collect() if r.doc_id == 1]
     assert [(s.start, s.end) for s in row.spans] == [(0, row.n_bytes)]
+
+
+def test_similar_texts(spark):
+    """Groups by fingerprints and by five-word similarity, against all pairs."""
+    rng = np.random.default_rng(8)
+    held = texts()
+    for k in range(12):
+        words = prose(260, 50 + k).split()
+        for c in range(5):  # from one word to a tenth of them changed
+            own = list(words)
+            for at in rng.choice(len(own), [0, 2, 5, 9, 26][c], replace=False):
+                own[at] = f"w{rng.integers(1000)}"
+            held.append((100 + 10 * k + c, " ".join(own)))
+    n = len(held)
+    data = [(t or "").encode() for _, t in held]
+    sets, prints = [set(shingle_set(t).tolist()) for t in data], [simhash(t) for t in data]
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a and b else 0
+    links = [(i, j) for i in range(n) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2 or jaccard(sets[i], sets[j]) >= 0.8]
+    expected = plain_components(links, range(n))
+    ours = {}
+    for r in near_groups(documents(spark, held)).collect():
+        ours.setdefault(r.component, []).append(str(r.doc_id))
+    theirs = {}
+    for k, (d, _) in enumerate(held):
+        theirs.setdefault(expected[k], []).append(str(d))
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_blocks_of_a_large_group_meet(spark, monkeypatch):
+    from sheetloom.llm import similar
+
+    words = prose(400, 77).split()
+    held = [(k, " ".join([*words[:k], "x", *words[k + 1 :]])) for k in range(40)]
+    for block in (1000, 7):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        assert len({r.component for r in near_groups(documents(spark, held)).collect()}) == 1
+    assert near_groups(empty(spark)).count() == 0
