@@ -23,8 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the least doc_id."""
-    from sheetloom.llm.simhash import one_of_each
+    """One document of each group of near copies, the one of the least doc_id: those that SimHash
+    links, and those of a five-word similarity of 0.8 or more."""
+    from sheetloom.llm.similar import one_of_each
 
     return one_of_each(docs)
 
