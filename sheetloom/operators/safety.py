@@ -25,10 +25,17 @@ def overlap_table(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(overlap_pairs(), "prop_norm string, touches string"))
 
 
+def _touched(set_by: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """A row for every property that a declaration touches, its own included. Exploding keeps rows
+    where they are, where a union would have them dealt out again."""
+    others = F.broadcast(overlaps.groupBy("prop_norm").agg(F.collect_list("touches").alias("others")))
+    whole = F.concat(F.array("prop_norm"), F.coalesce("others", F.array().cast("array<string>")))
+    return set_by.join(others, "prop_norm", "left").withColumn("touches", F.explode(whole)).drop("others")
+
+
 def _numbered(decls: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Rules by what they touch: (scope, touches, rule_id, rule_pos, n), n in document order."""
-    set_by = decls.select(*SCOPE, "rule_id", "rule_pos", "prop_norm")
-    touched = set_by.withColumn("touches", F.col("prop_norm")).unionByName(set_by.join(overlaps, "prop_norm"))
+    touched = _touched(decls.select(*SCOPE, "rule_id", "rule_pos", "prop_norm"), overlaps)
     rules = touched.groupBy(*SCOPE, "touches", "rule_id").agg(F.min("rule_pos").alias("rule_pos"))
     return rules.withColumn("n", F.row_number().over(Window.partitionBy(*SCOPE, "touches").orderBy("rule_pos", "rule_id")))
 
@@ -42,6 +49,7 @@ def members(decls: DataFrame) -> DataFrame:
 
 def fences(decls: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Duplicate groups with n_between, the rules of others that block them; fenced if any."""
+    decls = decls.repartition(*SCOPE)  # the one exchange of declarations; all that follows is by scope
     at = _numbered(decls, overlaps).select(*SCOPE, F.col("touches").alias("prop_norm"), "rule_id", "n")
     placed = members(decls).join(at, [*SCOPE, "prop_norm", "rule_id"])
     g = placed.groupBy(*SCOPE, "decl_key", "prop_norm").agg(F.count(F.lit(1)).alias("n_rules"), F.min("rule_pos").alias("first_pos"), F.max("rule_pos").alias("last_pos"), (F.max("n") - F.min("n") - 1).cast("long").alias("span"))
@@ -54,7 +62,7 @@ def blockers(decls: DataFrame, overlaps: DataFrame) -> DataFrame:
     The precise join, for fenced groups only."""
     fenced = fences(decls, overlaps).where("fenced").select(*SCOPE, "decl_key", F.col("prop_norm").alias("touches"), "first_pos", "last_pos")
     set_by = decls.select(*SCOPE, "rule_id", "rule_pos", "decl_pos", "prop_norm")
-    touched = set_by.withColumn("touches", F.col("prop_norm")).unionByName(set_by.join(overlaps, "prop_norm").select(*set_by.columns, "touches"))
+    touched = _touched(set_by, overlaps)
     own = members(decls).select(*SCOPE, "decl_key", "rule_id")
     inside = fenced.join(touched, [*SCOPE, "touches"]).where("rule_pos > first_pos AND rule_pos < last_pos")
     others = inside.join(own, [*SCOPE, "decl_key", "rule_id"], "left_anti")
@@ -65,6 +73,7 @@ def blockers(decls: DataFrame, overlaps: DataFrame) -> DataFrame:
 def runs(decls: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Members of a group in a row without a blocker between: (scope, decl_key, run_no, n_rules,
     first_pos, last_pos), runs of one too."""
+    decls = decls.repartition(*SCOPE)  # the one exchange of declarations; all that follows is by scope
     at = _numbered(decls, overlaps).select(*SCOPE, F.col("touches").alias("prop_norm"), "rule_id", "n")
     placed = members(decls).join(at, [*SCOPE, "prop_norm", "rule_id"])
     w = Window.partitionBy(*SCOPE, "decl_key").orderBy("rule_pos", "rule_id")
