@@ -6,6 +6,7 @@ group below has those columns among its keys, so nothing is dealt out again.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,5 +95,9 @@ def findings(nodes_: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def analyze(sheets: DataFrame, options: Options = Options()) -> DataFrame:
-    """Findings of sheets (sheet_id, css)."""
-    return findings(nodes(sheets, options), options)
+    """Findings of sheets (sheet_id, css).
+
+    Several branches of the plan read the nodes, so these are kept, on executors' disks: sheets are
+    parsed once, and what a lost executor held is parsed again.
+    """
+    return findings(nodes(sheets, options).persist(StorageLevel.DISK_ONLY), options)
