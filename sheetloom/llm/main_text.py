@@ -36,6 +36,8 @@ SIDE_SHARE = 0.5
 # Elements by what they do to a text.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Of the raw ones, those whose content is never markup: unclosed, they last to the page's end.
+UNPARSED = set("script style iframe textarea title noscript".split())
 RAW = set("script style noscript template svg math iframe object canvas textarea title select head".split())
 NEVER = set("nav aside footer form button dialog menu fieldset datalist audio video map".split())
 MAIN = {"article", "main"}
@@ -56,6 +58,7 @@ ROLES = set("navigation banner contentinfo complementary search form alert alert
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))|([^\s=/\"'>]+)")
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 _WORDS = re.compile(r"[a-z]+|\d+")
 
 
@@ -129,15 +132,9 @@ def lines_of(page: str) -> tuple[list[Line], set[int]]:
         if name in HEADINGS:
             heading -= 1
 
-    at, raw = 0, ""
-    for token in _TOKEN.finditer(page):
-        if raw:  # nothing but its own end tag ends raw text
-            if not ((token[1] or token[4]) and (token[2] or token[5] or "").lower() == raw):
-                continue
-            raw, at = "", token.end()
-            continue
-        if token.start() < at:
-            continue
+    at = 0
+    unended: set[str] = set()  # raw elements without an end tag in the rest of the page
+    while token := _TOKEN.search(page, at):
         if not dropped and (not heads or heading):
             text = page[at : token.start()]
             parts.append(text)
@@ -165,10 +162,15 @@ def lines_of(page: str) -> tuple[list[Line], set[int]]:
         if name in VOID or source.endswith("/"):
             continue
         if name in RAW:
-            raw = name if name != "head" else ""
             if name == "head":
                 stack.append((name, "drop", -1))
                 dropped += 1
+            elif name not in unended and (end := _END[name].search(page, at)):
+                at = end.end()  # nothing but its own end tag ends raw text
+            elif name in UNPARSED:
+                at = len(page)
+            else:
+                unended.add(name)
             continue
         if name == "body":
             while stack and stack[-1][0] == "head":
@@ -191,7 +193,7 @@ def lines_of(page: str) -> tuple[list[Line], set[int]]:
             heads += 1
         if name in HEADINGS:
             heading += 1
-    if not raw and not dropped and (not heads or heading):
+    if not dropped and (not heads or heading):
         parts.append(page[at:])
     end_line()
     return lines, mains

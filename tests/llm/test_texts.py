@@ -30,6 +30,14 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("raw", [
+    "<script>for(var i=0;i<n;i++){f(i)}</script>", "<script>el.innerHTML='<p';</script>", "<script>document.write(\"<!--\")</SCRIPT >",
+    "<style>a::after{content:'<b'}</style>", "<noscript><img alt='</noscript><object>", "<textarea><script></textarea\n>",
+])
+def test_raw_text_ends_at_its_own_end_tag(raw):
+    assert main_text(f"<html><head>{raw}</head><body><article><p>{ARTICLE}</p>{raw}<p>End.</p></article><script>1</script>") == f"{ARTICLE} End."
+
+
 def test_pages(spark):
     held = [(1, "u", f"<article><p>{ARTICLE}</article>"), (2, None, None), (None, "u", "<p>é</p>"), (1, "u", f"<article><p>{ARTICLE}</article>"), (3, "v", f"<article>{'<p>' + ARTICLE:s}</article>" * 500)]
     df = spark.createDataFrame(held, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(None).cast("int"))
