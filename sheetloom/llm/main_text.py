@@ -3,7 +3,8 @@
 Markup is stripped to *lines*: the text between block-level tags, with white space collapsed and
 character references decoded. What never belongs to an article (scripts, styles, forms, and
 elements that their name, role, class or id marks as menu, header, footer, sidebar, notice, advert
-or reader comments) leaves blank lines. A line's weight is its text outside links. Weights are
+or reader comments) leaves blank lines, unless it holds the page's article or main element or most
+of its text. A line's weight is its text outside links. Weights are
 summed over a sliding window of lines; the text begins where the sum surges over a threshold and
 ends where it dives to nothing, and the heaviest such stretch is the main text. The surge and dive
 points are then moved to the ends of the element that holds the text (the article or main element
@@ -53,6 +54,14 @@ MARKS = set(
     share sharing social related recommended recommendations widget widgets toolbar pagination pager paging
     copyright""".split()
 )
+#: Of the marks, those that stand for wrappers too: an element so marked (or a form) with most of the
+#: page's text is kept. Other marked elements are kept only where nothing else could be the text.
+WRAPPERS = set("form fieldset sidebar sidebars search register login signin signup share sharing social related recommended recommendations widget widgets toolbar masthead topbar banner overlay notice notices alert promo promos subscribe subscription respond".split())
+COMMENTS = set("comment comments commentlist disqus reply replies respond".split())
+ADS = set("ad ads adbox adslot advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion".split())
+#: A class or id is a mark where nothing but these stands before and behind its marking words.
+BEFORE = set("site page main global primary secondary top bottom left right upper lower header foot post article entry blog user google text sticky fixed floating mobile desktop js the".split())
+BEHIND = set("box block area section container wrapper wrap inner outer list item items bar panel link links post posts article articles story stories news form field row column col group holder unit slot zone title label button buttons btn icon icons body top bottom left right primary secondary main count thread x".split())
 HEADER_MARKS = {"header", "pageheader", "siteheader"}
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
@@ -76,34 +85,100 @@ def attributes(source: str) -> dict[str, str]:
     return found
 
 
+def marks_of(names: str) -> set[str]:
+    """The marks that whole names of a class or id stand for: 'main-nav', not 'no-nav'."""
+    found: set[str] = set()
+    for token in names.split():
+        words = [w for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()) if not w.isdigit()]
+        at = [k for k, w in enumerate(words) if w in MARKS or w in HEADER_MARKS]
+        if at and set(words[: at[0]]) <= BEFORE and all(w in BEHIND or w in MARKS for w in words[at[0] + 1 :]):
+            found.update(words[k] for k in at)
+    return found
+
+
 def marked(name: str, source: str, in_main: bool) -> str:
-    """What an element is: '' for text, 'drop', or 'head' (only headings of it are kept)."""
+    """What an element is: '' for text, 'head' (only headings of it are kept), or why it is dropped:
+    'hidden', 'wrapper' or 'apart'."""
     if name in NEVER:
-        return "drop"
+        return "wrapper" if name in WRAPPERS else "apart"
     kind = ""
     if name == "header":
-        kind = "head" if in_main else "drop"
+        kind = "head" if in_main else "apart"
     if not source or source.isspace():
         return kind
     given = attributes(source)
-    words = set(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{given.get('class', '')} {given.get('id', '')}").lower()))
     hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", given.get("style", ""))
     if name in ("html", "body", "main"):
         return kind
+    words, anchor = marks_of(given.get("class", "")), marks_of(given.get("id", ""))
+    if name in HEADINGS:  # an id of a heading is its anchor
+        words = set() if in_main else words
+    elif name == "section" and in_main:  # so is one of an article's section
+        words |= anchor & (COMMENTS | ADS | {"related", "recommended", "recommendations", "newsletter"})
+    else:
+        words |= anchor
     if name == "article":
-        return "drop" if hidden or words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo"} else kind
-    if hidden or words & MARKS or given.get("role", "").lower() in ROLES:
-        return "drop"
+        words &= COMMENTS | ADS
+        return "hidden" if hidden or words else kind
+    if hidden:
+        return "hidden"
+    role = given.get("role", "").lower()
+    if (found := words & MARKS) or role in ROLES:
+        return "wrapper" if found <= WRAPPERS and role not in ROLES - WRAPPERS else "apart"
     if words & HEADER_MARKS and name not in HEADINGS:
-        return "head" if in_main else "drop"
+        return "head" if in_main else "wrapper"
     return kind
 
 
-def lines_of(page: str) -> tuple[list[Line], set[int]]:
+@dataclass
+class Dropped:
+    """An element that is dropped by its marks: why, the one around it, its text outside links."""
+
+    kind: str
+    around: int
+    weight: int = 0
+
+
+def spared_of(drops: list[Dropped], mains: list[tuple[str, int, int]], kept: int) -> frozenset[int]:
+    """Which dropped elements hold the page's article or main element, or most of its text. ``mains``
+    has the name, innermost dropped element around it and weight of each article or main."""
+
+    def chain(k: int) -> list[int]:
+        found = []
+        while k >= 0:
+            found.append(k)
+            k = drops[k].around
+        return found
+
+    spared: set[int] = set()
+    outside = max((w for _, k, w in mains if k < 0), default=0)
+    for name, k, w in mains:
+        held = chain(k)
+        if w and (name == "main" or w > 2 * outside and 2 * w > kept) and all(drops[i].kind != "hidden" for i in held):
+            spared.update(held)
+    if outside or spared:
+        return frozenset(spared)
+    # without article or main elements, by weight: inner elements come before those around them
+    weight = [d.weight for d in drops]
+    page = kept + sum(d.weight for k, d in enumerate(drops) if all(drops[i].kind == "wrapper" for i in chain(k)))
+    for k in range(len(drops) - 1, -1, -1):
+        d = drops[k]
+        if d.kind == "wrapper" and 2 * weight[k] > page or d.kind == "apart" and not page and 2 * weight[k] > sum(weight):
+            spared.add(k)
+            if d.around >= 0:
+                weight[d.around] += weight[k]
+    return frozenset(spared)
+
+
+def lines_of(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[Line], set[int]]:
     """The page's lines (blank ones where something was dropped), and which containers are main or
-    article elements."""
+    article elements. Dropped elements are numbered as they open; the ``spared`` ones are kept."""
     lines: list[Line] = []
-    stack: list[tuple[str, str, int]] = []  # name, kind, number as a container or -1
+    stack: list[tuple[str, str, int, bool]] = []  # name, kind, number as a container or -1, is it in drops
+    drops: list[Dropped] = []
+    open_drops = [-1]
+    main_weights: dict[int, tuple[str, int, int]] = {}
+    kept = 0
     parts: list[str] = []
     link_chars, links, dropped, n_containers = 0, 0, 0, 0
     inside: list[int] = []
@@ -120,7 +195,9 @@ def lines_of(page: str) -> tuple[list[Line], set[int]]:
 
     def pop() -> None:
         nonlocal dropped, heads, heading
-        name, kind, number = stack.pop()
+        name, kind, number, numbered = stack.pop()
+        if numbered:
+            open_drops.pop()
         if kind == "drop":
             dropped -= 1
             if not dropped:
@@ -132,11 +209,37 @@ def lines_of(page: str) -> tuple[list[Line], set[int]]:
         if name in HEADINGS:
             heading -= 1
 
+    def weigh(text: str) -> None:
+        nonlocal kept
+        w = len(text.strip())
+        if not w or links:
+            return
+        if (k := open_drops[-1]) >= 0:
+            drops[k].weight += w
+        else:
+            kept += w
+        for number in inside:
+            if number in main_weights and main_weights[number][1] == k:
+                main_weights[number] = (*main_weights[number][:2], main_weights[number][2] + w)
+
+    def push(name: str, kind: str, number: int = -1) -> str:
+        """The kind that the element has after all."""
+        nonlocal dropped
+        numbered = kind in ("hidden", "wrapper", "apart")
+        if numbered:
+            drops.append(Dropped(kind, open_drops[-1]))
+            open_drops.append(len(drops) - 1)
+            kind = "" if len(drops) - 1 in spared else "drop"
+        dropped += kind == "drop"
+        stack.append((name, kind, number, numbered))
+        return kind
+
     at = 0
     unended: set[str] = set()  # raw elements without an end tag in the rest of the page
     while token := _TOKEN.search(page, at):
+        text = page[at : token.start()]
+        weigh(text)
         if not dropped and (not heads or heading):
-            text = page[at : token.start()]
             parts.append(text)
             if links:
                 link_chars += len(text.strip())
@@ -147,7 +250,7 @@ def lines_of(page: str) -> tuple[list[Line], set[int]]:
         closing, source = bool(token[1] or token[4]), token[3] or token[6] or ""
         if name == "a":
             links = 0 if closing else 1
-        if name in INLINE and not closing and not dropped and source and marked(name, source, not mains.isdisjoint(inside)) != "drop":
+        if name in INLINE and not closing and not dropped and source and marked(name, source, not mains.isdisjoint(inside)) in ("", "head"):
             continue
         if name in INLINE and not source.strip() and not (closing and any(s[0] == name for s in stack)):
             continue
@@ -163,8 +266,7 @@ def lines_of(page: str) -> tuple[list[Line], set[int]]:
             continue
         if name in RAW:
             if name == "head":
-                stack.append((name, "drop", -1))
-                dropped += 1
+                push(name, "apart")
             elif name not in unended and (end := _END[name].search(page, at)):
                 at = end.end()  # nothing but its own end tag ends raw text
             elif name in UNPARSED:
@@ -178,24 +280,26 @@ def lines_of(page: str) -> tuple[list[Line], set[int]]:
         if name in IMPLIED_END and stack and stack[-1][0] == name:
             pop()
         kind = marked(name, source, not mains.isdisjoint(inside))
-        if name in INLINE and kind != "drop":
+        if name in INLINE and kind in ("", "head"):
             continue
         number = -1
-        if name in CONTAINERS and kind != "drop":
+        if name in CONTAINERS and (kind in ("", "head") or len(drops) in spared):
             number, n_containers = n_containers, n_containers + 1
             inside.append(number)
             if name in MAIN:
                 mains.add(number)
-        stack.append((name, kind, number))
-        if kind == "drop":
-            dropped += 1
+                main_weights[number] = (name, open_drops[-1], 0)
+        kind = push(name, kind, number)
         if kind == "head":
             heads += 1
         if name in HEADINGS:
             heading += 1
+    weigh(page[at:])
     if not dropped and (not heads or heading):
         parts.append(page[at:])
     end_line()
+    if drops and not spared and (spared := spared_of(drops, list(main_weights.values()), kept)):
+        return lines_of(page, spared)
     return lines, mains
 
 

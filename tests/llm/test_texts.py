@@ -38,6 +38,24 @@ def test_raw_text_ends_at_its_own_end_tag(raw):
     assert main_text(f"<html><head>{raw}</head><body><article><p>{ARTICLE}</p>{raw}<p>End.</p></article><script>1</script>") == f"{ARTICLE} End."
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<div class='content with-sidebar'><p>{ARTICLE}</p></div>", ARTICLE),
+    (f"<div class='wrapper no-sidebar'><article><p>{ARTICLE}</p></article></div>", ARTICLE),
+    (f"<div id='page' class='has-comments'><p>{ARTICLE}</p></div><div class='main-nav'>{ARTICLE * 2}</div>", ARTICLE),
+    (f"<article><p>{ARTICLE}</p><h2 id='related-work'>Work</h2><section id='search'><h2 id=search>Search</h2><p>more</p></section></article>", f"{ARTICLE} Work Search more"),
+    (f"<form id=aspnetForm><nav>{ARTICLE * 9}</nav><div><p>{ARTICLE}</p><p>{ARTICLE}</p></div></form><footer>{ARTICLE * 3}</footer>", f"{ARTICLE} {ARTICLE}"),
+    (f"<aside><main><p>{ARTICLE}</p></main></aside>", ARTICLE),
+    (f"<div class='layout sidebar'><form><p>{ARTICLE}</p><div class=comments>{ARTICLE * 9}</div></form></div>", ARTICLE),
+    (f"<article class='post category-promo'><p>{ARTICLE}</p></article><p>{ARTICLE}{ARTICLE}</p>", None),
+    (f"<article><p>{ARTICLE}</p></article><aside><article>{ARTICLE}</article></aside><div class='post-comments'><article>{ARTICLE}</article></div>", ARTICLE),
+    (f"<p>{ARTICLE}</p><div class=cookie-notice>{ARTICLE * 9}</div>", ARTICLE),
+    (f"<div class=ad>{ARTICLE}</div><article><h1>Short.</h1></article><footer>{ARTICLE * 2}</footer>", "Short."),
+])
+def test_marked_elements_around_the_text_are_kept(page, text):
+    found = main_text(page)
+    assert found == text if text else found.startswith(ARTICLE)
+
+
 def test_pages(spark):
     held = [(1, "u", f"<article><p>{ARTICLE}</article>"), (2, None, None), (None, "u", "<p>é</p>"), (1, "u", f"<article><p>{ARTICLE}</article>"), (3, "v", f"<article>{'<p>' + ARTICLE:s}</article>" * 500)]
     df = spark.createDataFrame(held, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(None).cast("int"))
