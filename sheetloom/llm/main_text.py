@@ -6,13 +6,14 @@ elements that their name, role, class or id marks as menu, header, footer, sideb
 or reader comments) leaves blank lines, unless it holds the page's article or main element or most
 of its text. A line's weight is its text outside links. Weights are
 summed over a sliding window of lines; the text begins where the sum surges over a threshold and
-ends where it dives to nothing, and the heaviest such stretch is the main text. The surge and dive
-points are then moved to the ends of the element that holds the text (the article or main element
-around the peak, else the innermost container of all heavy stretches), which keeps its short first
-and last lines.
+ends where it dives to nothing; the heaviest such stretch has the peak. The surge and dive points
+are then moved to the ends of the element that holds the text. Where that is an article or main
+element around the peak, it is the main text. Else all stretches are, however light, whole with the
+containers that hold them and the lines of the same parents (body included), whatever dropped
+blocks lie between; lines of links alone are left out where no such element holds them.
 
 Defined cases: null or empty html gives an empty text; a page without a stretch gives its heaviest
-lines' text, or an empty one; unclosed and stray tags are tolerated; every page is read whole;
+line's text and what its parent holds beside it, or an empty one; unclosed and stray tags are tolerated; every page is read whole;
 repeated rows come back once each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .common import bound_batches
 
 #: Lines in a window, and the least sum of a surge.
 WINDOW, LEAST_SURGE = 3, 40
-#: Stretches of at least this share of the heaviest one belong to the text too.
+#: Stretches of at least this share of the heaviest one have all between them kept too.
 SIDE_SHARE = 0.5
 
 # Elements by what they do to a text.
@@ -310,10 +311,9 @@ def stretches(weights: list[int]) -> list[tuple[int, int]]:
     for w in weights:
         upto.append(upto[-1] + w)
     sums = [upto[min(n, k + WINDOW)] - upto[k] for k in range(n)]
-    least = max(LEAST_SURGE, max(sums, default=0) // 20)
     found, k = [], 0
     while k < n:
-        if sums[k] > least:
+        if sums[k] > LEAST_SURGE:
             surge = k
             while k < n and sums[k] > 0:
                 k += 1
@@ -327,7 +327,8 @@ def stretches(weights: list[int]) -> list[tuple[int, int]]:
 
 def main_text(page: str | None) -> str:
     lines, main_numbers = lines_of(page or "")
-    found = stretches([0 if 2 * line.weight < len(line.text) else line.weight for line in lines])
+    weights = [0 if 2 * line.weight < len(line.text) else line.weight for line in lines]
+    found = stretches(weights)
     total = [sum(line.weight for line in lines[a:b]) for a, b in found]
     if found:
         a, b = found[max(range(len(found)), key=total.__getitem__)]
@@ -343,14 +344,29 @@ def main_text(page: str | None) -> str:
         number = next((m for m in reversed(mains) if 2 * sum(line.weight for line in lines if m in line.inside) >= whole), mains[0])
         return " ".join(line.text for line in lines if line.text and number in line.inside)
     heaviest = max(total, default=0)
-    kept = [s for s, t in zip(found, total, strict=True) if t >= SIDE_SHARE * heaviest] or [(a, b)]
-    common = lines[peak].inside
-    for line in (line for a, b in kept for line in lines[a:b] if line.text):
-        same = [x == y for x, y in zip(common, line.inside, strict=False)]
-        common = common[: same.index(False) if False in same else len(same)]
-    if common:
-        return " ".join(line.text for line in lines if line.text and common[-1] in line.inside)
-    return " ".join(line.text for line in lines[kept[0][0] : kept[-1][1]] if line.text)
+    heavy = [s for s, t in zip(found, total, strict=True) if t >= SIDE_SHARE * heaviest] or [(a, b)]
+    found = found or [(a, b)]
+    common = holder(lines[k] for a, b in heavy for k in range(a, b))
+    keep = set() if common else set(range(heavy[0][0], heavy[-1][1]))
+    held = {common, *(holder(lines[a:b]) for a, b in found)}
+    # what only dropped blocks part belongs together: stretches again, without the blank lines
+    full = [k for k, line in enumerate(lines) if line.text]
+    for a, b in stretches([weights[k] for k in full]):
+        keep.update(full[a:b])
+    numbers, parents = {chain[-1] for chain in held if chain}, {chain[:-1] for chain in held}
+    for k in full:
+        inside = lines[k].inside
+        if not numbers.isdisjoint(inside) or weights[k] and (inside in parents or inside[:-1] in parents):
+            keep.add(k)
+    return " ".join(lines[k].text for k in full if k in keep)
+
+
+def holder(lines: Iterable[Line]) -> tuple[int, ...]:
+    """The containers around all of the lines that have text, outermost first; empty for body."""
+    chains = [line.inside for line in lines if line.text]
+    first, last = min(chains), max(chains)
+    same = [x == y for x, y in zip(first, last, strict=False)]
+    return first[: same.index(False) if False in same else len(same)]
 
 
 def extract(pages: DataFrame) -> DataFrame:

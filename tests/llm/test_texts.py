@@ -56,6 +56,17 @@ def test_marked_elements_around_the_text_are_kept(page, text):
     assert found == text if text else found.startswith(ARTICLE)
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<body><p>{ARTICLE * 12}</p><div class=ad>{ARTICLE}</div><p>{ARTICLE * 4}</p><div class=ad>x</div><p>End.</p></body>", f"{ARTICLE * 12} {ARTICLE * 4} End."),
+    (f"<div><p>{ARTICLE * 9}</p></div><aside>x</aside><div><p>{ARTICLE}</p></div><aside>x</aside><div><p>End.</p></div>", f"{ARTICLE * 9} {ARTICLE} End."),
+    (f"<div><div>{ARTICLE * 50}</div>{'<div><a href=x>menu</a></div>' * 4}<div><p>{ARTICLE}</p></div></div>", f"{ARTICLE * 50} {ARTICLE}"),
+    (f"{'<li><a href=x>menu</a>' * 9}<p>{ARTICLE * 9}</p>{'<li><a href=x>menu</a>' * 9}<p>End.</p>{'<li><a href=x>menu</a>' * 9}", f"{ARTICLE * 9} End."),
+    (f"<table><tr><td>{'<li><a href=x>menu</a>' * 9}<td>{ARTICLE}</table>", ARTICLE),
+])
+def test_light_parts_of_the_text_are_kept(page, text):
+    assert main_text(page) == text
+
+
 def test_pages(spark):
     held = [(1, "u", f"<article><p>{ARTICLE}</article>"), (2, None, None), (None, "u", "<p>é</p>"), (1, "u", f"<article><p>{ARTICLE}</article>"), (3, "v", f"<article>{'<p>' + ARTICLE:s}</article>" * 500)]
     df = spark.createDataFrame(held, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(None).cast("int"))
