@@ -3,6 +3,7 @@ for few distinct declarations and selectors very often."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -83,5 +84,14 @@ def likely_disjoint(a: Column, b: Column) -> Column:
     return _over("boolean", S.likely_apart)(a, b)
 
 
+def all_apart(a: Column, b: Column, aggressive: bool = False) -> Column:
+    """Is every selector of one array apart from every one of the other?"""
+
+    def every(x: str, y: str) -> bool:
+        return all(aggressive and S.likely_apart(m, n) or S.exclusive(m, n) for m in json.loads(x) for n in json.loads(y))
+
+    return _over("boolean", every)(F.to_json(a), F.to_json(b))
+
+
 def properties_overlap(a: Column, b: Column) -> Column:
     return _over("boolean", overlap)(a, b)

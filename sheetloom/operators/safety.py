@@ -6,6 +6,12 @@ overlapping p are numbered; between a group's first and last rule there are bloc
 more of them lie there than its own members. This is a window and two equi-joins, where a range
 join would compare every group with every rule of its scope. Only fenced groups need the precise
 join, with selectors.
+
+Where declarations have rule_selectors too (and scope_key, container_id, rule_kind and eligible, as
+operators.tables gives them), it leaves out rules all of whose selectors are apart from all of the
+group's, and options.fence tells whether rules of nested blocks count, as in operators.rewrite;
+rules that are not eligible are in no group but block. Without rule_selectors, every rule between
+that touches the property is a blocker, and only those of the same scope are known.
 """
 
 from __future__ import annotations
@@ -14,7 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.properties import overlap_pairs
+from ..functions.udfs import all_apart
+from ..plans.options import Options
 from .detect import cross_rule
+from .rewrite import OUTSIDE_CASCADE
 
 SCOPE = ["sheet_id", "scope_key"]
 
@@ -33,51 +42,103 @@ def _touched(set_by: DataFrame, overlaps: DataFrame) -> DataFrame:
     return set_by.join(others, "prop_norm", "left").withColumn("touches", F.explode(whole)).drop("others")
 
 
-def _numbered(decls: DataFrame, overlaps: DataFrame) -> DataFrame:
+def _numbered(decls: DataFrame, overlaps: DataFrame, by: list[str] = SCOPE) -> DataFrame:
     """Rules by what they touch: (scope, touches, rule_id, rule_pos, n), n in document order."""
     touched = _touched(decls.select(*SCOPE, "rule_id", "rule_pos", "prop_norm"), overlaps)
     rules = touched.groupBy(*SCOPE, "touches", "rule_id").agg(F.min("rule_pos").alias("rule_pos"))
-    return rules.withColumn("n", F.row_number().over(Window.partitionBy(*SCOPE, "touches").orderBy("rule_pos", "rule_id")))
+    return rules.withColumn("n", F.row_number().over(Window.partitionBy(*by, "touches").orderBy("rule_pos", "rule_id")))
+
+
+def _with_selectors(decls: DataFrame) -> bool:
+    return "rule_selectors" in decls.columns
+
+
+def _by(decls: DataFrame, options: Options) -> list[str]:
+    """The columns that the rules which can block each other share."""
+    return ["sheet_id"] if _with_selectors(decls) and options.fence == "document" else SCOPE
 
 
 def members(decls: DataFrame) -> DataFrame:
     """Rules of every duplicate group: (scope, decl_key, prop_norm, rule_id, rule_pos)."""
+    if _with_selectors(decls):
+        decls = decls.where("rule_kind = 'rule' AND eligible")
     groups = cross_rule(decls).select(*SCOPE, "decl_key")
     rules = decls.groupBy(*SCOPE, "decl_key", "rule_id").agg(F.min("prop_norm").alias("prop_norm"), F.min("rule_pos").alias("rule_pos"))
     return rules.join(groups, [*SCOPE, "decl_key"], "left_semi")
 
 
-def fences(decls: DataFrame, overlaps: DataFrame) -> DataFrame:
+def fences(decls: DataFrame, overlaps: DataFrame, options: Options = Options()) -> DataFrame:
     """Duplicate groups with n_between, the rules of others that block them; fenced if any."""
-    decls = decls.repartition(*SCOPE)  # the one exchange of declarations; all that follows is by scope
-    at = _numbered(decls, overlaps).select(*SCOPE, F.col("touches").alias("prop_norm"), "rule_id", "n")
+    if not _with_selectors(decls):
+        return _counted(decls, overlaps, SCOPE)
+    whole = _counted(decls, overlaps, _by(decls, options)).drop("n_between", "fenced")
+    n = _blocking(decls, overlaps, options).groupBy(*SCOPE, "decl_key").agg(F.countDistinct("rule_id").alias("n_between"))
+    return whole.join(n, [*SCOPE, "decl_key"], "left").withColumn("n_between", F.coalesce("n_between", F.lit(0))).withColumn("fenced", F.col("n_between") > 0)
+
+
+def _counted(decls: DataFrame, overlaps: DataFrame, by: list[str]) -> DataFrame:
+    """The same by counting alone, without selectors."""
+    decls = decls.repartition(*by)  # the one exchange of declarations; all that follows is by scope
+    at = _numbered(decls, overlaps, by).select(*SCOPE, F.col("touches").alias("prop_norm"), "rule_id", "n")
     placed = members(decls).join(at, [*SCOPE, "prop_norm", "rule_id"])
     g = placed.groupBy(*SCOPE, "decl_key", "prop_norm").agg(F.count(F.lit(1)).alias("n_rules"), F.min("rule_pos").alias("first_pos"), F.max("rule_pos").alias("last_pos"), (F.max("n") - F.min("n") - 1).cast("long").alias("span"))
     between = (F.col("span") - (F.col("n_rules") - 2)).cast("long")
     return g.withColumn("n_between", between).withColumn("fenced", F.col("n_between") > 0).drop("span")
 
 
-def blockers(decls: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """The nearest blocker of each fenced group: (scope, decl_key, rule_id, prop_norm of the hit).
+def _blocking(decls: DataFrame, overlaps: DataFrame, options: Options) -> DataFrame:
+    """Declarations that block a group: (scope, decl_key, rule_id, rule_pos, decl_pos, prop_norm).
     The precise join, for fenced groups only."""
-    fenced = fences(decls, overlaps).where("fenced").select(*SCOPE, "decl_key", F.col("prop_norm").alias("touches"), "first_pos", "last_pos")
-    set_by = decls.select(*SCOPE, "rule_id", "rule_pos", "decl_pos", "prop_norm")
-    touched = _touched(set_by, overlaps)
+    by = _by(decls, options)
+    fenced = _counted(decls, overlaps, by).where("fenced").select(*SCOPE, "decl_key", F.col("prop_norm").alias("touches"), "first_pos", "last_pos")
     own = members(decls).select(*SCOPE, "decl_key", "rule_id")
-    inside = fenced.join(touched, [*SCOPE, "touches"]).where("rule_pos > first_pos AND rule_pos < last_pos")
-    others = inside.join(own, [*SCOPE, "decl_key", "rule_id"], "left_anti")
+    if not _with_selectors(decls):
+        touched = _touched(decls.select(*SCOPE, "rule_id", "rule_pos", "decl_pos", "prop_norm"), overlaps)
+        inside = fenced.join(touched, [*SCOPE, "touches"]).where("rule_pos > first_pos AND rule_pos < last_pos")
+        return inside.join(own, [*SCOPE, "decl_key", "rule_id"], "left_anti")
+    lists = decls.select(*SCOPE, "rule_id", "rule_selectors").dropDuplicates([*SCOPE, "rule_id"])
+    selectors = own.join(lists, [*SCOPE, "rule_id"]).groupBy(*SCOPE, "decl_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rule_selectors")))).alias("own"))
+    blocks = decls.groupBy(*SCOPE).agg((F.lit(options.aggressive) & (F.countDistinct("container_id") > 1)).alias("joined"))
+    groups = fenced.join(selectors, [*SCOPE, "decl_key"]).join(blocks, SCOPE)
+    others = decls.select("sheet_id", F.col("scope_key").alias("other_scope"), "rule_id", "rule_pos", "decl_pos", "prop_norm", "rule_kind", "rule_selectors")
+    touched = _touched(others, overlaps)
+    same = F.col("other_scope") == F.col("scope_key")
+    keys = ["sheet_id", "touches"]
+    if by == SCOPE:
+        touched, keys = touched.withColumn("scope_key", F.col("other_scope")), [*SCOPE, "touches"]
+    inside = groups.join(touched, keys).where("rule_pos > first_pos AND rule_pos < last_pos").where(same | ~F.col("joined"))
+    # what stands between a group's block and the other rule: other rules make it nested
+    chain, around = (F.when(F.col(c) == "root", F.array().cast("array<string>")).otherwise(F.from_json(c, "array<string>")) for c in ("other_scope", "scope_key"))
+    inside = inside.withColumn("chain", chain).withColumn("around", around)
+    below = F.when(F.slice("chain", 1, F.size("around")) == F.col("around"), F.slice("chain", F.size("around") + 1, F.size("chain"))).otherwise(F.col("chain"))
+    outside = f"(?i)^@(({'|'.join(sorted(OUTSIDE_CASCADE))})(?![\\w-])|[\\w-]*keyframes(?![\\w-]))"
+    inside = inside.withColumn("nested", F.exists(below, lambda step: ~step.startswith("@"))).where(~F.exists(below, lambda step: step.rlike(outside)))
+    inside = inside.where("rule_kind = 'rule' OR nested").join(own, [*SCOPE, "decl_key", "rule_id"], "left_anti")
+    return inside.where(F.col("nested") | ~all_apart(F.col("rule_selectors"), F.col("own"), options.aggressive))
+
+
+def blockers(decls: DataFrame, overlaps: DataFrame, options: Options = Options()) -> DataFrame:
+    """The nearest blocker of each fenced group: (scope, decl_key, rule_id, prop_norm of the hit)."""
     nearest = F.struct("rule_pos", "decl_pos", "prop_norm")
-    return others.groupBy(*SCOPE, "decl_key").agg(F.min_by("rule_id", nearest).alias("rule_id"), F.min_by("prop_norm", nearest).alias("prop_norm"), F.min("rule_pos").alias("rule_pos"))
+    return _blocking(decls, overlaps, options).groupBy(*SCOPE, "decl_key").agg(F.min_by("rule_id", nearest).alias("rule_id"), F.min_by("prop_norm", nearest).alias("prop_norm"), F.min("rule_pos").alias("rule_pos"))
 
 
-def runs(decls: DataFrame, overlaps: DataFrame) -> DataFrame:
+def runs(decls: DataFrame, overlaps: DataFrame, options: Options = Options()) -> DataFrame:
     """Members of a group in a row without a blocker between: (scope, decl_key, run_no, n_rules,
     first_pos, last_pos), runs of one too."""
-    decls = decls.repartition(*SCOPE)  # the one exchange of declarations; all that follows is by scope
-    at = _numbered(decls, overlaps).select(*SCOPE, F.col("touches").alias("prop_norm"), "rule_id", "n")
-    placed = members(decls).join(at, [*SCOPE, "prop_norm", "rule_id"])
     w = Window.partitionBy(*SCOPE, "decl_key").orderBy("rule_pos", "rule_id")
-    new = F.when(F.col("n") - F.lag("n").over(w) == 1, 0).otherwise(1)
+    if _with_selectors(decls):
+        columns = [*SCOPE, "decl_key", "rule_id", "rule_pos"]
+        of_group = members(decls).select(*columns, F.lit(0).alias("blocks"))
+        both = of_group.union(_blocking(decls, overlaps, options).select(*columns, F.lit(1).alias("blocks")).distinct())
+        counted = both.withColumn("n_before", F.sum("blocks").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("blocks = 0")
+        new = F.when(F.col("n_before") == F.lag("n_before").over(w), 0).otherwise(1)
+        placed = counted
+    else:
+        decls = decls.repartition(*SCOPE)  # the one exchange of declarations; all that follows is by scope
+        at = _numbered(decls, overlaps).select(*SCOPE, F.col("touches").alias("prop_norm"), "rule_id", "n")
+        placed = members(decls).join(at, [*SCOPE, "prop_norm", "rule_id"])
+        new = F.when(F.col("n") - F.lag("n").over(w) == 1, 0).otherwise(1)
     numbered = placed.withColumn("new", new).withColumn("run_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*SCOPE, "decl_key", "run_no").agg(F.count(F.lit(1)).alias("n_rules"), F.min("rule_pos").alias("first_pos"), F.max("rule_pos").alias("last_pos"))
 

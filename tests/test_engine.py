@@ -7,7 +7,10 @@ import pytest
 from sheetloom.operators.consolidate import changes, dedup
 from sheetloom.operators.detect import analyze
 from sheetloom.operators.report import report, warnings
-from sheetloom.operators import tables
+from sheetloom.functions.scopes import scopes
+from sheetloom.functions.tree import parse
+from sheetloom.operators import safety, tables
+from sheetloom.operators.rewrite import Consolidation
 from sheetloom.plans.api import analyze_css, dedup_stage
 from sheetloom.plans.options import Options
 from sheetloom.plans.queries import ORACLE_SQL, QUERIES
@@ -48,6 +51,40 @@ def test_rows_only_queries(spark):
         assert QUERIES[name](spark, SMALL).count() > 0
 
 
+SAFETY = [
+    "html[lang='da'] a{color:red}html[lang='de'] a{color:blue}html[lang='da'] a{top:0}html[lang='da'] a{color:red}",
+    ".a{color:red}.b{color:blue}.c{color:red}.d{color:red}",
+    ".a{color:red}@media print{.b{color:blue}}.c{color:red}",
+    ".a{color:red}@media print{a{x:0}@font-face{color:blue}}@keyframes k{from{color:blue}}.c{color:red}",
+    ".a{margin:0;&:hover{margin-left:1px}}.b{margin:0}",
+    "@media print{.a{top:0}.b{left:0}.c{top:0}}.d{top:1px}@media print{.e{top:0}}",
+    "@media print{.a{top:0}i[x='1']{top:1px}.a{top:0}.b{top:0}}",
+]
+
+
+@pytest.mark.parametrize("options", [Options(), Options(fence="scope"), Options(aggressive=True)])
+def test_safety_is_that_of_rewrite(spark, options):
+    # the tables compare blocks of one condition together, the rewriter only with aggressive
+    held = [(k, css) for k, css in enumerate(SAFETY) if options.aggressive or css.count("@media") < 2]
+    decls = tables.declarations(tables.nodes(spark.createDataFrame(held, "sheet_id long, css string"), options), options).cache()
+    over = safety.overlap_table(spark)
+    fenced = {(r.sheet_id, r.scope_key, r.decl_key): r for r in safety.fences(decls, over, options).collect()}
+    nearest = {(r.sheet_id, r.scope_key, r.decl_key): r.prop_norm for r in safety.blockers(decls, over, options).collect()}
+    parts = sorted((r.sheet_id, r.scope_key, r.decl_key, r.run_no, r.n_rules) for r in safety.runs(decls, over, options).collect())
+    assert {k for k, r in fenced.items() if r.fenced} == set(nearest)
+    expected, theirs, split = set(), {}, []
+    for sheet_id, css in held:
+        c = Consolidation(parse(css), options)
+        for scope in scopes(c.root, options.aggressive):
+            for g in c.groups(scope):
+                key = (sheet_id, scope.key, g.key)
+                expected.add(key)
+                hit = c.blocker(scope, g.rules, set(g.rules), g.rules[0], g.rules[-1], g.prop)
+                theirs |= {key: hit[1]} if hit else {}
+                split += [(*key, k + 1, len(run)) for k, run in enumerate(c.runs(scope, g, g.rules, set(g.rules)))]
+    assert expected == set(fenced) and theirs == nearest and sorted(split) == parts
+
+
 def test_findings_in_order(spark):
     found = analyze_css(spark, BASIC)
     assert [(f["kind"], f["scope"], f["key"]) for f in found] == [
