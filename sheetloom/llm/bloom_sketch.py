@@ -7,9 +7,11 @@ takes a cell that holds one digest, notes it, and removes it from its other cell
 left. Where cells stay, the sketch was too small and both are built anew four times as large.
 Likeness is the share of digests that two texts have in common: shared / (shared + differing).
 
-Paragraphs are lines, parted after sentence ends; a piece of over 400 bytes is also parted after
-words whose own hash says so, so that a long line that was edited in one place still shares most
-of its pieces.
+Paragraphs are lines, parted after sentence ends; a piece of over 400 bytes is also parted where a
+rolling hash of its bytes says so, and at latest every 256 bytes from there, so that a long line
+that was edited in one place still shares most of its pieces. Of texts with fewer than 2,048
+characters all pieces are parted so, finer the shorter the text (LEVELS). Two texts are compared at
+the level of the longer one.
 
 Many pairs are peeled at once: the cells of all pairs of an Arrow batch lie in one array.
 
@@ -37,33 +39,57 @@ from .common import bound_batches, id_and_text, materialize, partitions
 #: Cells of the fingerprint itself, hash functions, and growth where peeling fails.
 CELLS, HASHES, GROWTH = 9, 3, 4
 LONG_PIECE = 400
+#: By characters of a text: fewer than this, the longest bytes of a piece left whole, one place in so
+#: many is a cut, and the longest bytes without one.
+LEVELS = ((16, 0, 2, 2), (64, 0, 4, 6), (512, 0, 16, 32), (2048, 0, 32, 128), (1 << 62, LONG_PIECE, 64, 256))
+_ROLL = 6
 _PARTS = re.compile(rb"(?<=[.!?])[ \t]+|[\r\n]+")
 _SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def paragraphs(text: bytes) -> list[bytes]:
+def level_of(n_chars: int) -> int:
+    return next(k for k, (below, *_) in enumerate(LEVELS) if n_chars < below)
+
+
+def cuts(part: bytes, one_in: int, longest: int) -> list[int]:
+    """Where a piece is parted, its end included. The cuts that the last bytes tell are certain: an
+    edit moves those near it only, and the forced ones start anew behind each."""
+    data = np.frombuffer(part, np.uint8).astype(np.uint32)
+    h = np.zeros(len(data), np.uint32)
+    for k in range(min(_ROLL, len(data))):
+        h[k:] += data[: len(data) - k] * np.uint32(pow(0x01000193, k + 1, 1 << 32))
+    h *= np.uint32(0x9E3779B1)
+    found, last = [], 0
+    for end in [*(np.flatnonzero((h >> np.uint32(16)) % np.uint32(one_in) == 0) + 1).tolist(), len(part)]:
+        found.extend(range(last + longest, end, longest))
+        if end > last:
+            found.append(end)
+        last = end
+    return found
+
+
+def paragraphs(text: bytes, level: int) -> list[bytes]:
+    _, whole, one_in, longest = LEVELS[level]
     pieces: list[bytes] = []
     for part in _PARTS.split(text):
-        if len(part) <= LONG_PIECE:
-            if part.strip():
-                pieces.append(part)
+        if not part.strip():
             continue
-        held: list[bytes] = []
-        for word in part.split():
-            held.append(word)
-            if xxhash.xxh32_intdigest(word) % 8 == 0:
-                pieces.append(b" ".join(held))
-                held = []
-        if held:
-            pieces.append(b" ".join(held))
+        if len(part) <= whole:
+            pieces.append(part)
+            continue
+        at = 0
+        for end in cuts(part, one_in, longest):
+            pieces.append(part[at:end])
+            at = end
     return pieces
 
 
-def digests(text: str) -> np.ndarray:
-    """One 64-bit digest per paragraph; its seed is how often the paragraph came before."""
+def digests(text: str, level: int | None = None) -> np.ndarray:
+    """One 64-bit digest per paragraph, by its own level or another; its seed is how often the
+    paragraph came before."""
     seen: dict[bytes, int] = {}
     found = []
-    for piece in paragraphs(text.encode()):
+    for piece in paragraphs(text.encode(), level_of(len(text)) if level is None else level):
         n = seen.get(piece, 0)
         seen[piece] = n + 1
         found.append(xxhash.xxh64_intdigest(piece, n))
@@ -181,6 +207,18 @@ def likeness(first: list[np.ndarray], second: list[np.ndarray]) -> list[float]:
     return found
 
 
+def _nearness(texts: list[str], others: list[str], own: list[np.ndarray], theirs: list[np.ndarray]) -> list[float]:
+    """The likeness of texts and others, whose digests by their own levels are known."""
+    first, second = list(own), list(theirs)
+    for k, (a, b) in enumerate(zip(texts, others, strict=True)):
+        m, n = level_of(len(a)), level_of(len(b))
+        if m < n:
+            first[k] = digests(a, n)
+        elif n < m:
+            second[k] = digests(b, m)
+    return likeness(first, second)
+
+
 def edited(text: str, following: str) -> str:
     """The last quarter (rounded down) of text replaced by as many characters of what follows."""
     n = len(text) // 4
@@ -200,8 +238,8 @@ def _compare(ids: list, texts: list[str], following: list[str], own: list[np.nda
         pa.array([hashlib.sha256(c.encode()).digest() for c in changed], pa.binary()),
         pa.array([fingerprint(k) for k in own], pa.string()),
         pa.array([fingerprint(k) for k in theirs], pa.string()),
-        pa.array(likeness(own, theirs), pa.float64()),
-        pa.array(likeness(own, after), pa.float64()),
+        pa.array(_nearness(texts, changed, own, theirs), pa.float64()),
+        pa.array(_nearness(texts, following, own, after), pa.float64()),
     ]
 
 

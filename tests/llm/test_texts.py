@@ -147,6 +147,14 @@ def test_edits(spark):
     assert alone.near_next == 1.0
 
 
+@pytest.mark.parametrize("text", ["word", "a short one", prose(5, 1), prose(20, 2).replace(".", ","), prose(150, 3).replace(".", ","), "Der " * 1400, "x" * 9000, "äöü" * 700, prose(900, 4).replace(" ", "").replace(".", "")])
+def test_edited_texts_stay_near(spark, text):
+    (found,) = B.edit_fingerprints(documents(spark, [(1, text), (2, "0123456789" * 3000)])).where("doc_id = 1").collect()
+    assert found.near_edited > 0.2 and found.near_next == 0
+    moved = B.digests("Zy. " + text, B.level_of(len(text)))
+    assert len(text) < 100 or np.isin(B.digests(text), moved).mean() > 0.8
+
+
 def test_quality(spark):
     good = [(k, prose(80 + k % 50, k)) for k in range(300)]
     bad = [(1000 + k, " | ".join(prose(30, k).split())) for k in range(100)] + [(2000 + k, prose(40, k).upper().replace(" ", "!! ")) for k in range(100)]
