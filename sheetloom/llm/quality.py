@@ -10,8 +10,8 @@ Fitting uses a bounded sample: at most SAMPLE labelled documents outside the hel
 by a hash of their ids, and PAIRS pairs of them. Scoring runs over every document.
 
 Defined cases: null text is empty and gets a score like any other; labels that are null, or whose
-document is missing, are not used; with labels of one kind only, every score is that kind's; other
-columns are ignored or, in ``with_score``, passed through; repeated rows come back once each; an
+document is missing, are not used; with labels of one kind only, every score is that kind's; without
+any usable label nothing is known against a document, so every score is over the cut; other columns are ignored or, in ``with_score``, passed through; repeated rows come back once each; an
 empty table gives no rows.
 """
 
@@ -119,7 +119,7 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 5) ->
     scale = (x.std(0) if len(x) else np.ones(3 * N_BASE)) + 1e-9
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(good) or not len(bad):
-        return Model(mean, scale, np.zeros(x.shape[1]), -1.0 if len(good) else 1.0, 5.0)
+        return Model(mean, scale, np.zeros(x.shape[1]), 1.0 if len(bad) else -1.0, 5.0)
     z = np.clip((x - mean) / scale, -10, 10)
     rng = np.random.default_rng(seed)
     d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]

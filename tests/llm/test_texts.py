@@ -173,6 +173,17 @@ def test_quality(spark):
     assert one_kind.where("predicted = 0").count() == 0
 
 
+def test_quality_without_labels_keeps_all(spark):
+    df = documents(spark)
+    held = [d for d in range(100_000, 100_100) if zlib.crc32(str(d).encode()) % 5 == 0]
+    more = df.union(documents(spark, [(held[0], prose(40, 1))]).select(df.columns))
+    for given in ([], [(0, None, 0), (None, 0, 0)], [(99_999, 0, 0)], [(held[0], 0, 0)]):
+        labels = spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+        assert [r.predicted for r in Q.quality_scores(more, labels).collect()] == [1] * (len(texts()) + 1)
+    (only_bad,) = Q.quality_scores(documents(spark, [(1, "a")]), spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")).collect()
+    assert only_bad.predicted == 0
+
+
 def test_features_are_finite():
     x = Q.matrix(iter(texts_of(pa.array([t or "" for _, t in texts()]))))
     assert x.shape == (len(texts()), 3 * Q.N_BASE) and np.isfinite(x).all()
