@@ -21,10 +21,13 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def work_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (a local session, as in tests) is it set to a folder of this machine.
+    Only where that is unset in a local session, as in tests, it is a folder of this machine; on a
+    cluster that would be a folder that executors do not share, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = f"file:/tmp/checkpoints/{spark.sparkContext.applicationId}"
     return root.rstrip("/")
 
@@ -42,16 +45,31 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._work_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing will read again; any other table is
+    left alone."""
+    for df in tables:
+        path = df.__dict__.pop("_work_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            _delete(spark, path)
+            _WRITTEN.remove((spark, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def clean_up() -> None:
     """Delete the work files of this process. DataFrames that read them are then unusable."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(*_WRITTEN.pop())
 
 
 def _clean_up_at_exit() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         large = hung.union(_nearest(both).select("u", F.col("m").alias("v"))).where("u >= v").distinct()
         least = _nearest(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        stars = materialize(small.where("u >= v").distinct(), "links")
+        before, stars = stars, materialize(small.where("u >= v").distinct(), "links")
+        discard(before)
         proper = stars.where("u <> v")
         torn = proper.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x")).where("m <> x").select("u")
         deep = proper.select(F.col("v").alias("u")).join(proper.select("u"), "u", "left_semi")

@@ -8,7 +8,7 @@ from sheetloom.llm import repeated_passages as R
 from sheetloom.llm.common import texts_of
 from sheetloom.llm.components import components
 from sheetloom.llm.repeated_passages import repeat_digests, without_repeats
-from sheetloom.llm.similar import near_groups, shingle_set
+from sheetloom.llm.similar import alike, near_groups, shingle_set
 from sheetloom.llm.simhash import hexadecimal, near_duplicates, one_of_each, simhash
 from sheetloom.llm.vantage import grow, spanning_links
 
@@ -223,3 +223,24 @@ def test_blocks_of_a_large_group_meet(spark, monkeypatch):
         monkeypatch.setattr(similar, "BLOCK", block)
         assert len({r.component for r in near_groups(documents(spark, held)).collect()}) == 1
     assert near_groups(empty(spark)).count() == 0
+
+
+def test_very_many_near_copies(spark):
+    """A text with 20,000 near copies is one group, whose size no task feels; others stay apart."""
+    words = prose(120, 78).split()
+    held = [(k, " ".join([*words[: k % 119], f"x{k}", *words[k % 119 + 1 :]])) for k in range(20_000)]
+    held += [(30_000 + k, prose(100, 500 + k)) for k in range(50)]
+    found = {}
+    for r in near_groups(spark.createDataFrame(held, "doc_id long, text string").repartition(8)).collect():
+        found.setdefault(r.component, set()).add(r.doc_id)
+    assert sorted(map(len, found.values())) == [1] * 50 + [20_000]
+
+
+def test_alike_is_all_pairs_across_components():
+    rng = np.random.default_rng(3)
+    for n, known in ((5, None), (30, None), (30, np.arange(30) // 10)):
+        base = np.sort(rng.choice(1 << 40, 200, replace=False).astype(np.uint64))
+        sets = [np.unique(np.where(rng.random(200) < 0.03 * (k % 7), rng.integers(0, 1 << 40, 200).astype(np.uint64), base)) for k in range(n)]
+        same = [] if known is None else [(i, j) for i in range(n) for j in range(i) if known[i] == known[j]]
+        plain = [(i, j) for i in range(n) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        assert plain_components(same + alike(sets, 0.8, known), range(n)) == plain_components(same + plain, range(n))
