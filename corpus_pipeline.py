@@ -56,9 +56,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    from sheetloom.llm.common import materialize
+    from sheetloom.llm.common import discard, materialize
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)  # nothing but this stage reads its input
     return STAGES[-1][1](spark, docs, sf_dir)
