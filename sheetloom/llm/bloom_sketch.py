@@ -1,19 +1,21 @@
 """Document fingerprints from invertible Bloom lookup sketches (operator 9).
 
 A text is a set of paragraph digests (a repeated paragraph has a digest for each time). A sketch
-of m cells adds each digest to three cells: a count, a sum of digests and a sum of check values.
-Sketches of two versions subtract cell by cell, which leaves the digests that differ; *peeling*
-takes a cell that holds one digest, notes it, and removes it from its other cells until nothing is
-left. Where cells stay, the sketch was too small and both are built anew four times as large.
-Likeness is the share of digests that two texts have in common: shared / (shared + differing).
-
-Paragraphs are lines, parted after sentence ends; a piece of over 400 bytes is also parted where a
-rolling hash of its bytes says so, and at latest every 256 bytes from there, so that a long line
-that was edited in one place still shares most of its pieces. Of texts with fewer than 2,048
-characters all pieces are parted so, finer the shorter the text (LEVELS). Two texts are compared at
-the level of the longer one.
-
-Many pairs are peeled at once: the cells of all pairs of an Arrow batch lie in one array.
+of m cells adds each digest to three cells: a count, a sum of digests and a sum of check values, all
+of fixed width, so that they wrap. Sketches of two versions subtract cell by cell, which leaves the
+digests that differ; *peeling* takes a cell that holds one digest, notes it, and removes it from its
+other cells until nothing is left. The fingerprint is the sketch of CELLS cells, whole: likeness is
+told by subtracting and peeling two fingerprints. Where cells stay, they were too small, and both
+texts' sketches of GROWTH times the cells are tried, and so on. Likeness is the share of digests
+that two texts have in common: shared / (shared + differing), with the texts' digest counts, which
+the fingerprints hold too.
+
+A paragraph ends with a line or sentence, and wherever a rolling hash of the last bytes says so: often
+near the text's beginning, seldom further on (ZONES), and at latest a zone's longest piece behind
+another end. The rule is the same for any text. So an edit changes the paragraphs around it, short
+texts have paragraphs to compare, and a long line is no single one.
+
+Many pairs are peeled at once: the cells of many pairs lie in one array.
 
 Defined cases: null text is empty, an empty text has no digests, two texts without digests are
 alike (1.0); equal texts have equal fingerprints; one document alone is its own next one; equal
@@ -24,201 +26,237 @@ each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, id_and_text, materialize, partitions
+from .repeated_passages import Rolling, mix
 
 #: Cells of the fingerprint itself, hash functions, and growth where peeling fails.
-CELLS, HASHES, GROWTH = 9, 3, 4
-LONG_PIECE = 400
-#: By characters of a text: fewer than this, the longest bytes of a piece left whole, one place in so
-#: many is a cut, and the longest bytes without one.
-LEVELS = ((16, 0, 2, 2), (64, 0, 4, 6), (512, 0, 16, 32), (2048, 0, 32, 128), (1 << 62, LONG_PIECE, 64, 256))
+CELLS, HASHES, GROWTH = 9, 3, 8
+#: Up to this byte of a text, one place in so many is a paragraph's end, and a paragraph has at most so many bytes.
+ZONES = ((16, 2, 2), (64, 4, 6), (512, 16, 32), (1 << 62, 64, 256))
+#: A cell as it is written.
+CELL = np.dtype([("n", "<i2"), ("k", "<u8"), ("c", "<u4")])
+#: Bytes and cells looked at together.
+_PORTION, _TOGETHER = 1 << 18, 1 << 20
 _ROLL = 6
-_PARTS = re.compile(rb"(?<=[.!?])[ \t]+|[\r\n]+")
+_FACTORS = [np.uint32(pow(0x01000193, k + 1, 1 << 32)) for k in range(_ROLL)]
+_NEAR = max(z for z, _, _ in ZONES[:-1])
+#: By byte, up to the last zone: the bits of the rolling hash that are zero at an end.
+_MASKS = np.concatenate([np.full(b - a, one_in - 1, np.uint32) for a, (b, one_in, _) in zip([0, *(z[0] for z in ZONES)], ZONES[:-1], strict=False)])
 _SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_STOP, _BLANK = (np.isin(np.arange(256), list(c)) for c in (b".!?", b" \t\r\n"))
+_PIECES = Rolling(9, 0x8F1BBCDCCA62C1D7)
 
 
-def level_of(n_chars: int) -> int:
-    return next(k for k, (below, *_) in enumerate(LEVELS) if n_chars < below)
-
-
-def cuts(part: bytes, one_in: int, longest: int) -> list[int]:
-    """Where a piece is parted, its end included. The cuts that the last bytes tell are certain: an
-    edit moves those near it only, and the forced ones start anew behind each."""
-    data = np.frombuffer(part, np.uint8).astype(np.uint32)
-    h = np.zeros(len(data), np.uint32)
-    for k in range(min(_ROLL, len(data))):
-        h[k:] += data[: len(data) - k] * np.uint32(pow(0x01000193, k + 1, 1 << 32))
-    h *= np.uint32(0x9E3779B1)
-    found, last = [], 0
-    for end in [*(np.flatnonzero((h >> np.uint32(16)) % np.uint32(one_in) == 0) + 1).tolist(), len(part)]:
-        found.extend(range(last + longest, end, longest))
-        if end > last:
-            found.append(end)
-        last = end
-    return found
-
-
-def paragraphs(text: bytes, level: int) -> list[bytes]:
-    _, whole, one_in, longest = LEVELS[level]
-    pieces: list[bytes] = []
-    for part in _PARTS.split(text):
-        if not part.strip():
-            continue
-        if len(part) <= whole:
-            pieces.append(part)
-            continue
-        at = 0
-        for end in cuts(part, one_in, longest):
-            pieces.append(part[at:end])
-            at = end
-    return pieces
-
-
-def digests(text: str, level: int | None = None) -> np.ndarray:
-    """One 64-bit digest per paragraph, by its own level or another; its seed is how often the
-    paragraph came before."""
-    seen: dict[bytes, int] = {}
+def ends_of(data: np.ndarray) -> np.ndarray:
+    """Where paragraphs end, the text's end included, ascending."""
     found = []
-    for piece in paragraphs(text.encode(), level_of(len(text)) if level is None else level):
-        n = seen.get(piece, 0)
-        seen[piece] = n + 1
-        found.append(xxhash.xxh64_intdigest(piece, n))
-    return np.array(found, np.uint64)
-
-
-def _mix(keys: np.ndarray, salt: np.uint64) -> np.ndarray:
+    for a in range(0, len(data), _PORTION):
+        lead = min(a, _ROLL)  # bytes before the portion that its first hashes need
+        part = data[a - lead : a + _PORTION + 1]
+        wide = part.astype(np.uint32)
+        h = np.zeros(len(part), np.uint32)
+        for k in range(min(_ROLL, len(part))):
+            h[k:] += wide[: len(part) - k] * _FACTORS[k]
+        h = (h * np.uint32(0x9E3779B1)) >> np.uint32(16)
+        masks = np.full(len(part), ZONES[-1][1] - 1, np.uint32)
+        near = max(0, min(len(part), _NEAR - (a - lead)))
+        masks[:near] = _MASKS[a - lead : a - lead + near]
+        end = (h & masks) == 0
+        blank = _BLANK[part]
+        line = blank.copy()  # white space that a line or sentence end is in, before what follows it
+        line[1:] &= _STOP[part[:-1]] | (part[1:] == 0x0A)
+        line[:-1] &= ~blank[1:]
+        end |= line & (np.arange(len(part)) > 0)
+        stop = min(len(part), lead + _PORTION)
+        found.append(np.flatnonzero(end[lead:stop]) + a + 1)
+    if not len(data):
+        return np.empty(0, np.int64)
+    ends = np.unique(np.append(np.concatenate(found), len(data)))
+    begins = np.concatenate([[0], ends[:-1]])
+    longest = np.array([z[2] for z in ZONES])[np.searchsorted([z[0] for z in ZONES], begins, "right")]
+    if (far := np.flatnonzero(ends - begins > longest)).size:
+        ends = np.sort(np.concatenate([ends, *(_forced(begins[k], ends[k]) for k in far.tolist())]))
+    return ends
+
+
+def _forced(begin: int, end: int) -> np.ndarray:
+    """Ends inside a paragraph that has none of its own, each zone's longest piece apart."""
+    found = []
+    for below, _, longest in ZONES:
+        n = max(0, min(-(-(below - begin) // longest), -(-(end - begin) // longest) - 1))
+        found.append(begin + longest * np.arange(1, n + 1))
+        begin += longest * n
+    return np.concatenate(found)
+
+
+def digests(text: str) -> np.ndarray:
+    """One 64-bit digest per paragraph, from its bytes and how often it came before."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    ends = ends_of(data)
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    keys, i = np.empty(len(ends), np.uint64), 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, begins[i] + _PORTION, "right")))
+        a, b = begins[i:j] - begins[i], ends[i:j] - begins[i]
+        sums = _PIECES.sums(data[begins[i] : ends[j - 1]])
+        keys[i:j] = mix(((sums[b] - sums[a]) * _PIECES.inverse[a]) ^ ((b - a).astype(np.uint64) * _SALTS[0]))
+        i = j
+    order = np.argsort(keys, kind="stable")
+    same = np.zeros(len(keys), bool)
+    same[1:] = keys[order][1:] == keys[order][:-1]
+    if same.any():
+        at = np.arange(len(keys))
+        before = at - np.maximum.accumulate(np.where(same, 0, at))
+        again = order[same]
+        keys[again] = mix(keys[again] + before[same].astype(np.uint64) * _SALTS[2])
+    return keys
+
+
+def _salted(keys: np.ndarray, salt: np.uint64) -> np.ndarray:
     h = (keys ^ salt) * _SALTS[0]
     h ^= h >> np.uint64(32)
     h *= _SALTS[1]
     return h ^ (h >> np.uint64(29))
 
 
+def _checks(keys: np.ndarray) -> np.ndarray:
+    return _salted(keys, _SALTS[3]).astype(np.uint32)
+
+
 def cells_of(keys: np.ndarray, m: int) -> list[np.ndarray]:
     """The cells of each key, one in each third of the sketch."""
     third = np.uint64(m // HASHES)
-    return [(k * int(third) + (_mix(keys, _SALTS[k]) % third)).astype(np.int64) for k in range(HASHES)]
-
+    return [(k * int(third) + (_salted(keys, _SALTS[k]) % third)).astype(np.int64) for k in range(HASHES)]
+
+
+@dataclass
+class Sketches:
+    """The cells of several sketches of m cells each, one after another: counts modulo 2**16, sums
+    of digests modulo 2**64, sums of check values modulo 2**32."""
+
+    m: int
+    n: np.ndarray
+    k: np.ndarray
+    c: np.ndarray
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray], m: int = CELLS) -> Sketches:
+        empty = cls(m, np.zeros(len(sets) * m, np.int16), np.zeros(len(sets) * m, np.uint64), np.zeros(len(sets) * m, np.uint32))
+        keys = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        empty.put(keys, np.ones(len(keys), np.int16), owner)
+        return empty
+
+    def put(self, keys: np.ndarray, signs: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Add keys (or take them away); returns the cells touched."""
+        k, c = keys * signs.astype(np.uint64), _checks(keys) * signs.astype(np.uint32)
+        touched = [owner * self.m + at for at in cells_of(keys, self.m)]
+        for at in touched:
+            np.add.at(self.n, at, signs)
+            np.add.at(self.k, at, k)
+            np.add.at(self.c, at, c)
+        return np.concatenate(touched)
 
-def sketch(keys: np.ndarray, m: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """counts, key sums, check sums of m cells."""
-    count, key, check = np.zeros(m, np.int64), np.zeros(m, np.uint64), np.zeros(m, np.uint64)
-    checks = _mix(keys, _SALTS[3])
-    for at in cells_of(keys, m):
-        np.add.at(count, at, 1)
-        np.add.at(key, at, keys)
-        np.add.at(check, at, checks)
-    return count, key, check
+    def __sub__(self, other: Sketches) -> Sketches:
+        return Sketches(self.m, self.n - other.n, self.k - other.k, self.c - other.c)
+
+    def __getitem__(self, which: np.ndarray) -> Sketches:
+        return Sketches(self.m, *(x.reshape(-1, self.m)[which].ravel() for x in (self.n, self.k, self.c)))
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which sketches peel completely; the digests recovered from those, their signs and owners.
+        The cells are used up."""
+        look = np.arange(len(self.n))
+        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        with np.errstate(over="ignore"):
+            while len(look):
+                look = look[(self.n[look] == 1) | (self.n[look] == -1)]
+                sign = self.n[look]
+                k = self.k[look] * sign.astype(np.uint64)
+                pure = self.c[look] * sign.astype(np.uint32) == _checks(k)
+                owner, k, sign = look[pure] // self.m, k[pure], sign[pure]
+                if not len(k):
+                    break
+                order = np.lexsort((k, owner))
+                owner, k, sign = owner[order], k[order], sign[order]
+                new = np.ones(len(k), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (k[1:] != k[:-1])
+                owner, k, sign = owner[new], k[new], sign[new]
+                got.append((k, sign, owner))
+                look = np.unique(self.put(k, -sign, owner))
+        done = ~((self.n != 0) | (self.k != 0) | (self.c != 0)).reshape(-1, self.m).any(1)
+        if not got:
+            return done, np.empty(0, np.uint64), np.empty(0, np.int16), np.empty(0, np.int64)
+        k, sign, owner = (np.concatenate(x) for x in zip(*got, strict=True))
+        return done, k[done[owner]], sign[done[owner]], owner[done[owner]]
+
+
+def written(sketches: Sketches, sizes: list[int]) -> list[str]:
+    """Fingerprints: the number of digests, then the cells, as hex."""
+    cells = np.empty(len(sketches.n), CELL)
+    cells["n"], cells["k"], cells["c"] = sketches.n, sketches.k, sketches.c
+    return [f"{size:08x}{row.tobytes().hex()}" for size, row in zip(sizes, cells.reshape(-1, sketches.m), strict=True)]
+
+
+def read(fingerprints: list[str]) -> tuple[Sketches, list[int]]:
+    """Sketches and numbers of digests of written fingerprints."""
+    cells = np.frombuffer(b"".join(bytes.fromhex(f[8:]) for f in fingerprints), CELL)
+    return Sketches(CELLS, cells["n"].copy(), cells["k"].copy(), cells["c"].copy()), [int(f[:8], 16) for f in fingerprints]
 
 
 def fingerprint(keys: np.ndarray) -> str:
-    """The sketch of CELLS cells as hex: the number of digests, then 12 bytes a cell."""
-    count, key, check = sketch(keys)
-    cells = np.zeros(CELLS, [("n", "<u2"), ("k", "<u8"), ("c", "<u2")])
-    cells["n"], cells["k"], cells["c"] = count & 0xFFFF, key, check >> np.uint64(48)
-    return f"{len(keys):08x}{cells.tobytes().hex()}"
-
+    return written(Sketches.of([keys]), [len(keys)])[0]
 
-def _together(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All keys, and the number of the set that each is of."""
-    sizes = [len(s) for s in sets]
-    return (np.concatenate(sets) if sets else np.empty(0, np.uint64)), np.repeat(np.arange(len(sets)), sizes)
 
-
-def _peel(keys: np.ndarray, signs: np.ndarray, pair: np.ndarray, n_pairs: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which pairs peel completely with m cells; the digests recovered, their signs and pairs."""
-    count, key, check = np.zeros(n_pairs * m, np.int64), np.zeros(n_pairs * m, np.uint64), np.zeros(n_pairs * m, np.uint64)
-
-    def put(k: np.ndarray, s: np.ndarray, p: np.ndarray) -> np.ndarray:
-        checks, factor = _mix(k, _SALTS[3]), s.astype(np.uint64)
-        touched = [p * m + at for at in cells_of(k, m)]
-        for at in touched:
-            np.add.at(count, at, s)
-            np.add.at(key, at, k * factor)
-            np.add.at(check, at, checks * factor)
-        return np.concatenate(touched)
-
-    put(keys, signs, pair)
-    look = np.arange(n_pairs * m)
-    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    while len(look):
-        look = look[np.abs(count[look]) == 1]
-        sign = count[look]
-        k = key[look] * sign.astype(np.uint64)
-        pure = check[look] * sign.astype(np.uint64) == _mix(k, _SALTS[3])
-        look, sign, k = look[pure], sign[pure], k[pure]
-        if not len(look):
-            break
-        p = look // m
-        order = np.lexsort((k, p))
-        p, k, sign = p[order], k[order], sign[order]
-        new = np.ones(len(p), bool)
-        new[1:] = (p[1:] != p[:-1]) | (k[1:] != k[:-1])
-        p, k, sign = p[new], k[new], sign[new]
-        got.append((k, sign, p))
-        look = np.unique(put(k, -sign, p))
-    left = (count != 0) | (key != 0) | (check != 0)
-    done = ~left.reshape(n_pairs, m).any(1)
-    if not got:
-        return done, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    k, s, p = (np.concatenate(x) for x in zip(*got, strict=True))
-    return done, k[done[p]], s[done[p]], p[done[p]]
-
-
-def differing(first: list[np.ndarray], second: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each pair of digest sets: the digests of the first alone and of the second alone."""
+def differing(first: list[np.ndarray], second: list[np.ndarray], ours: Sketches | None = None, theirs: Sketches | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair of digest sets: the digests of the first alone and of the second alone. ``ours``
+    and ``theirs`` are the sets' fingerprints, if they are there already."""
     result: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.uint64),) * 2 for _ in first]
+    ours, theirs = ours or Sketches.of(first), theirs or Sketches.of(second)
     active, m = np.arange(len(first)), CELLS
     while len(active):
-        # no sketch smaller than the difference in size can peel
-        fit = np.array([abs(len(first[i]) - len(second[i])) <= m for i in active], bool)
-        now = active[fit]
-        if len(now):
-            a, pa_ = _together([first[i] for i in now])
-            b, pb = _together([second[i] for i in now])
-            signs = np.concatenate([np.ones(len(a), np.int64), -np.ones(len(b), np.int64)])
-            done, k, s, p = _peel(np.concatenate([a, b]), signs, np.concatenate([pa_, pb]), len(now), m)
-            order = np.argsort(p, kind="stable")
-            k, s, p = k[order], s[order], p[order]
-            upto = np.searchsorted(p, np.arange(len(now) + 1))
-            for j in np.flatnonzero(done).tolist():
-                own, sign = k[upto[j] : upto[j + 1]], s[upto[j] : upto[j + 1]]
-                result[now[j]] = (own[sign > 0], own[sign < 0])
-            active = np.concatenate([active[~fit], now[~done]])
+        failed = []
+        step = max(1, _TOGETHER // m)
+        for a in range(0, len(active), step):
+            now = active[a : a + step]
+            if m == CELLS:
+                rest = ours[now] - theirs[now]
+            else:
+                rest = Sketches.of([first[i] for i in now], m) - Sketches.of([second[i] for i in now], m)
+            done, k, sign, owner = rest.peel()
+            order = np.argsort(owner, kind="stable")
+            k, sign, owner = k[order], sign[order], owner[order]
+            upto = np.searchsorted(owner, np.arange(len(now) + 1))
+            for j in range(len(now)):
+                own, s = k[upto[j] : upto[j + 1]], sign[upto[j] : upto[j + 1]]
+                i = now[j]
+                if done[j] and int(s.sum(dtype=np.int64)) == len(first[i]) - len(second[i]):
+                    result[i] = (own[s > 0], own[s < 0])
+                else:
+                    failed.append(i)
+        active = np.array(failed, np.int64)
         m *= GROWTH
     return result
 
 
-def likeness(first: list[np.ndarray], second: list[np.ndarray]) -> list[float]:
+def likeness(first: list[np.ndarray], second: list[np.ndarray], ours: Sketches | None = None, theirs: Sketches | None = None) -> list[float]:
     found = []
-    for (x, y), a, b in zip(differing(first, second), first, second, strict=True):
+    for (x, y), a, b in zip(differing(first, second, ours, theirs), first, second, strict=True):
         d = len(x) + len(y)
         shared = (len(a) + len(b) - d) // 2
         found.append(shared / (shared + d) if shared + d else 1.0)
     return found
 
 
-def _nearness(texts: list[str], others: list[str], own: list[np.ndarray], theirs: list[np.ndarray]) -> list[float]:
-    """The likeness of texts and others, whose digests by their own levels are known."""
-    first, second = list(own), list(theirs)
-    for k, (a, b) in enumerate(zip(texts, others, strict=True)):
-        m, n = level_of(len(a)), level_of(len(b))
-        if m < n:
-            first[k] = digests(a, n)
-        elif n < m:
-            second[k] = digests(b, m)
-    return likeness(first, second)
-
-
 def edited(text: str, following: str) -> str:
     """The last quarter (rounded down) of text replaced by as many characters of what follows."""
     n = len(text) // 4
@@ -232,14 +270,15 @@ _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerpri
 def _compare(ids: list, texts: list[str], following: list[str], own: list[np.ndarray], after: list[np.ndarray]) -> list[pa.Array]:
     changed = [edited(a, b) for a, b in zip(texts, following, strict=True)]
     theirs = [digests(c) for c in changed]
+    ours, new, behind = Sketches.of(own), Sketches.of(theirs), Sketches.of(after)
     return [
         pa.array(ids, pa.int64()),
         pa.array(list(map(len, texts)), pa.int64()),
         pa.array([hashlib.sha256(c.encode()).digest() for c in changed], pa.binary()),
-        pa.array([fingerprint(k) for k in own], pa.string()),
-        pa.array([fingerprint(k) for k in theirs], pa.string()),
-        pa.array(_nearness(texts, changed, own, theirs), pa.float64()),
-        pa.array(_nearness(texts, following, own, after), pa.float64()),
+        pa.array(written(ours, list(map(len, own))), pa.string()),
+        pa.array(written(new, list(map(len, theirs))), pa.string()),
+        pa.array(likeness(own, theirs, ours, new), pa.float64()),
+        pa.array(likeness(own, after, ours, behind), pa.float64()),
     ]
 
 

@@ -13,6 +13,7 @@ from sheetloom.llm import quality as Q
 from sheetloom.llm.common import texts_of
 from sheetloom.llm.main_text import extract, main_text
 
+from ..conftest import SMALL
 from .odd import documents, empty, prose, rows, texts
 
 ARTICLE = "A paragraph of the article that is long enough to be its main text, surely so."
@@ -151,10 +152,50 @@ def test_edits(spark):
 def test_edited_texts_stay_near(spark, text):
     (found,) = B.edit_fingerprints(documents(spark, [(1, text), (2, "0123456789" * 3000)])).where("doc_id = 1").collect()
     assert found.near_edited > 0.2 and found.near_next == 0
-    moved = B.digests("Zy. " + text, B.level_of(len(text)))
+    moved = B.digests("Zy. " + text)
     assert len(text) < 100 or np.isin(B.digests(text), moved).mean() > 0.8
 
 
+def test_returned_fingerprints_tell_likeness(spark):
+    """The strings of the output alone, subtracted and peeled, give near_edited and near_next of every
+    document whose differences fit their cells, and the digests that differ."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    near = [(1 << 20, prose(200, 5)), ((1 << 20) + 1, prose(200, 5) + " end"), ((1 << 20) + 2, prose(200, 5) + " end")]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string"))
+    found = B.edit_fingerprints(docs).orderBy("doc_id").collect()
+    held = {r.doc_id: r.text or "" for r in docs.collect()}
+    peeled = 0
+    for other, near in (([r.edited_fingerprint for r in found], "near_edited"), ([r.fingerprint for r in found[1:] + found[:1]], "near_next")):
+        (a, n), (b, k) = B.read([r.fingerprint for r in found]), B.read(other)
+        rest = a - b
+        done, keys, sign, owner = rest.peel()
+        for i, r in enumerate(found):
+            text, following = held[r.doc_id], held[found[(i + 1) % len(found)].doc_id]
+            second = B.digests(B.edited(text, following) if near == "near_edited" else following)
+            first = set(B.digests(text).tolist())
+            assert (n[i], k[i]) == (len(first), len(second))
+            both = len(first & set(second.tolist()))
+            assert r[near] == pytest.approx(both / (len(first | set(second.tolist()))) if first or len(second) else 1.0)
+            if done[i]:
+                own = owner == i
+                assert set(keys[own & (sign > 0)].tolist()) == first - set(second.tolist())
+                shared = (n[i] + k[i] - own.sum()) / 2
+                assert r[near] == pytest.approx(shared / (shared + own.sum()) if shared + own.sum() else 1.0)
+                peeled += own.sum() > 0
+    assert peeled
+
+
+@pytest.mark.parametrize("size", [0, 1, 5, 17, 600, (1 << 18) - 1, (1 << 18) + 300, 1 << 20])
+def test_paragraph_ends_do_not_depend_on_portions(monkeypatch, size):
+    rng = np.random.default_rng(size)
+    data = rng.choice(np.frombuffer(b"abcdef .!\n", np.uint8), size)
+    ends = B.ends_of(data)
+    assert (np.diff(ends, prepend=0) > 0).all() and (ends[-1] == size if size else not len(ends))
+    keys = B.digests(data.tobytes().decode())
+    monkeypatch.setattr(B, "_PORTION", 4096)
+    assert (B.ends_of(data) == ends).all() and (B.digests(data.tobytes().decode()) == keys).all() and len(set(keys.tolist())) == len(keys)
+
+
 def test_quality(spark):
     good = [(k, prose(80 + k % 50, k)) for k in range(300)]
     bad = [(1000 + k, " | ".join(prose(30, k).split())) for k in range(100)] + [(2000 + k, prose(40, k).upper().replace(" ", "!! ")) for k in range(100)]
