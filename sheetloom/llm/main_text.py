@@ -6,11 +6,18 @@ elements that their name, role, class or id marks as menu, header, footer, sideb
 or reader comments) leaves blank lines, unless it holds the page's article or main element or most
 of its text. A line's weight is its text outside links. Weights are
 summed over a sliding window of lines; the text begins where the sum surges over a threshold and
-ends where it dives to nothing; the heaviest such stretch has the peak. The surge and dive points
-are then moved to the ends of the element that holds the text. Where that is an article or main
-element around the peak, it is the main text. Else all stretches are, however light, whole with the
-containers that hold them and the lines of the same parents (body included), whatever dropped
-blocks lie between; lines of links alone are left out where no such element holds them.
+ends where it dives to nothing; the heaviest such stretch has the peak.
+
+The stretches are the main text: those of the article or main element around the peak, where there
+is one, else all of the page. Blank lines that dropped blocks left do not part them. What lies
+between the first surge and the last dive of one article or main element is text too. Tags widen a
+stretch by the lines next to it alone: of the same element, lines of text, and up to WINDOW - 1
+lines of links. Where no article or main element is, stretches are widened to the ends of the
+containers that hold them and by the lines of the same parents.
+
+Tags are scanned once from left to right; elements are numbered in page order, with their parents,
+so that pages of any size and depth take time in proportion. A tag whose quotes never close ends
+at its first ">", and so do the tags behind it.
 
 Defined cases: null or empty html gives an empty text; a page without a stretch gives its heaviest
 line's text and what its parent holds beside it, or an empty one; unclosed and stray tags are tolerated; every page is read whole;
@@ -21,8 +28,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,7 +75,8 @@ BEHIND = set("box block area section container wrapper wrap inner outer list ite
 HEADER_MARKS = {"header", "pageheader", "siteheader"}
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))|([^\s=/\"'>]+)")
 _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 _WORDS = re.compile(r"[a-z]+|\d+")
@@ -76,7 +86,84 @@ _WORDS = re.compile(r"[a-z]+|\d+")
 class Line:
     text: str
     weight: int
-    inside: tuple[int, ...]  # numbers of the containers that it is in, outermost first
+    inside: int  # number of the innermost container that it is in, or -1
+
+
+@dataclass
+class Containers:
+    """Elements that hold lines, numbered as they open: the container around each, the last one
+    that is inside it, and which are article or main elements."""
+
+    around: list[int] = field(default_factory=list)
+    last: list[int] = field(default_factory=list)
+    mains: set[int] = field(default_factory=set)
+
+    def holds(self, number: int, other: int) -> bool:
+        return number < 0 or number <= other <= self.last[number]
+
+    def chain(self, number: int) -> Iterator[int]:
+        """The container and those around it, innermost first."""
+        while number >= 0:
+            yield number
+            number = self.around[number]
+
+
+@dataclass
+class Tag:
+    start: int
+    end: int
+    name: str = ""  # empty for comments and declarations
+    closing: bool = False
+    source: str = ""
+
+
+class Scanner:
+    """Finds tags from left to right. What a search to the page's end did not find is not searched
+    for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.absent: set[str] = set()
+        self.loose = False
+
+    def find(self, what: str, at: int) -> int:
+        found = -1 if what in self.absent else self.page.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Behind the tag that goes on at ``at``; -1 if it never ends."""
+        first = self.find(">", at)
+        if first < 0 or self.loose:
+            return first + 1 if first >= 0 else -1
+        k = at
+        while True:
+            k = _PLAIN.match(self.page, k).end()
+            if k >= len(self.page):
+                break
+            if self.page[k] == ">":
+                return k + 1
+            if (k := self.find(self.page[k], k + 1)) < 0:
+                break
+            k += 1
+        self.loose = True
+        return first + 1
+
+    def next(self, at: int) -> Tag | None:
+        while (start := self.find("<", at)) >= 0:
+            for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if self.page.startswith(opening, start):
+                    end = self.find(closing, start + len(opening))
+                    return Tag(start, len(self.page) if end < 0 else end + len(closing))
+            if self.page[start + 1 : start + 2] in ("!", "?"):
+                if (end := self.find(">", start)) >= 0:
+                    return Tag(start, end + 1)
+            elif m := _NAME.match(self.page, start):
+                if (end := self.tag_end(m.end())) >= 0:
+                    return Tag(start, end, m[1].lower(), self.page[start + 1] == "/", self.page[m.end() : end - 1])
+            at = start + 1
+        return None
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -143,70 +230,76 @@ class Dropped:
 def spared_of(drops: list[Dropped], mains: list[tuple[str, int, int]], kept: int) -> frozenset[int]:
     """Which dropped elements hold the page's article or main element, or most of its text. ``mains``
     has the name, innermost dropped element around it and weight of each article or main."""
-
-    def chain(k: int) -> list[int]:
-        found = []
-        while k >= 0:
-            found.append(k)
-            k = drops[k].around
-        return found
-
+    # of each: is any element up from it hidden, are all of them wrappers
+    hidden, wrapped = [], []
+    for d in drops:
+        hidden.append(d.kind == "hidden" or d.around >= 0 and hidden[d.around])
+        wrapped.append(d.kind == "wrapper" and (d.around < 0 or wrapped[d.around]))
     spared: set[int] = set()
     outside = max((w for _, k, w in mains if k < 0), default=0)
     for name, k, w in mains:
-        held = chain(k)
-        if w and (name == "main" or w > 2 * outside and 2 * w > kept) and all(drops[i].kind != "hidden" for i in held):
-            spared.update(held)
+        if w and (name == "main" or w > 2 * outside and 2 * w > kept) and not (k >= 0 and hidden[k]):
+            while k >= 0 and k not in spared:
+                spared.add(k)
+                k = drops[k].around
     if outside or spared:
         return frozenset(spared)
     # without article or main elements, by weight: inner elements come before those around them
     weight = [d.weight for d in drops]
-    page = kept + sum(d.weight for k, d in enumerate(drops) if all(drops[i].kind == "wrapper" for i in chain(k)))
+    whole = sum(weight)
+    page = kept + sum(d.weight for d, w in zip(drops, wrapped, strict=True) if w)
     for k in range(len(drops) - 1, -1, -1):
         d = drops[k]
-        if d.kind == "wrapper" and 2 * weight[k] > page or d.kind == "apart" and not page and 2 * weight[k] > sum(weight):
+        if d.kind == "wrapper" and 2 * weight[k] > page or d.kind == "apart" and not page and 2 * weight[k] > whole:
             spared.add(k)
             if d.around >= 0:
                 weight[d.around] += weight[k]
+                whole += weight[k]
     return frozenset(spared)
 
 
-def lines_of(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[Line], set[int]]:
-    """The page's lines (blank ones where something was dropped), and which containers are main or
-    article elements. Dropped elements are numbered as they open; the ``spared`` ones are kept."""
+def lines_of(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[Line], Containers]:
+    """The page's lines (blank ones where something was dropped), and what holds them. Dropped
+    elements are numbered as they open; the ``spared`` ones are kept."""
     lines: list[Line] = []
     stack: list[tuple[str, str, int, bool]] = []  # name, kind, number as a container or -1, is it in drops
+    open_names: Counter[str] = Counter()
     drops: list[Dropped] = []
     open_drops = [-1]
-    main_weights: dict[int, tuple[str, int, int]] = {}
+    held = Containers()
+    inside = [-1]
+    open_mains: list[int] = []
+    main_of: dict[int, tuple[str, int, int]] = {}  # name, innermost dropped element, main around
+    main_weight: Counter[int] = Counter()
     kept = 0
     parts: list[str] = []
-    link_chars, links, dropped, n_containers = 0, 0, 0, 0
-    inside: list[int] = []
-    mains: set[int] = set()
-    heads, heading = 0, 0
+    link_chars, links, dropped, heads, heading = 0, 0, 0, 0, 0
 
     def end_line() -> None:
         nonlocal link_chars
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            lines.append(Line(text, max(0, len(text) - link_chars), tuple(inside)))
+            lines.append(Line(text, max(0, len(text) - link_chars), inside[-1]))
         link_chars = 0
 
     def pop() -> None:
         nonlocal dropped, heads, heading
         name, kind, number, numbered = stack.pop()
+        open_names[name] -= 1
         if numbered:
             open_drops.pop()
         if kind == "drop":
             dropped -= 1
             if not dropped:
-                lines.extend([Line("", 0, ())] * WINDOW)
+                lines.extend([Line("", 0, -1)] * WINDOW)
         if kind == "head":
             heads -= 1
         if number >= 0:
             inside.pop()
+            held.last[number] = len(held.around) - 1
+            if number in main_of:
+                open_mains.pop()
         if name in HEADINGS:
             heading -= 1
 
@@ -219,9 +312,8 @@ def lines_of(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[Line
             drops[k].weight += w
         else:
             kept += w
-        for number in inside:
-            if number in main_weights and main_weights[number][1] == k:
-                main_weights[number] = (*main_weights[number][:2], main_weights[number][2] + w)
+        if open_mains and main_of[open_mains[-1]][1] == k:
+            main_weight[open_mains[-1]] += w
 
     def push(name: str, kind: str, number: int = -1) -> str:
         """The kind that the element has after all."""
@@ -233,32 +325,32 @@ def lines_of(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[Line
             kind = "" if len(drops) - 1 in spared else "drop"
         dropped += kind == "drop"
         stack.append((name, kind, number, numbered))
+        open_names[name] += 1
         return kind
 
+    scanner = Scanner(page)
     at = 0
     unended: set[str] = set()  # raw elements without an end tag in the rest of the page
-    while token := _TOKEN.search(page, at):
-        text = page[at : token.start()]
+    while tag := scanner.next(at):
+        text = page[at : tag.start]
         weigh(text)
         if not dropped and (not heads or heading):
             parts.append(text)
             if links:
                 link_chars += len(text.strip())
-        at = token.end()
-        name = (token[2] or token[5] or "").lower()
+        at, name, closing, source = tag.end, tag.name, tag.closing, tag.source
         if not name:
             continue
-        closing, source = bool(token[1] or token[4]), token[3] or token[6] or ""
         if name == "a":
             links = 0 if closing else 1
-        if name in INLINE and not closing and not dropped and source and marked(name, source, not mains.isdisjoint(inside)) in ("", "head"):
+        if name in INLINE and not closing and not dropped and source and marked(name, source, bool(open_mains)) in ("", "head"):
             continue
-        if name in INLINE and not source.strip() and not (closing and any(s[0] == name for s in stack)):
+        if name in INLINE and not source.strip() and not (closing and open_names[name]):
             continue
         if name not in INLINE:
             end_line()
         if closing:
-            if any(s[0] == name for s in stack):
+            if open_names[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -280,16 +372,19 @@ def lines_of(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[Line
                 pop()
         if name in IMPLIED_END and stack and stack[-1][0] == name:
             pop()
-        kind = marked(name, source, not mains.isdisjoint(inside))
+        kind = marked(name, source, bool(open_mains))
         if name in INLINE and kind in ("", "head"):
             continue
         number = -1
         if name in CONTAINERS and (kind in ("", "head") or len(drops) in spared):
-            number, n_containers = n_containers, n_containers + 1
+            number = len(held.around)
+            held.around.append(inside[-1])
+            held.last.append(number)
             inside.append(number)
             if name in MAIN:
-                mains.add(number)
-                main_weights[number] = (name, open_drops[-1], 0)
+                held.mains.add(number)
+                main_of[number] = (name, open_drops[-1], open_mains[-1] if open_mains else -1)
+                open_mains.append(number)
         kind = push(name, kind, number)
         if kind == "head":
             heads += 1
@@ -299,9 +394,16 @@ def lines_of(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[Line
     if not dropped and (not heads or heading):
         parts.append(page[at:])
     end_line()
-    if drops and not spared and (spared := spared_of(drops, list(main_weights.values()), kept)):
+    while stack:
+        pop()
+    for number in sorted(main_of, reverse=True):  # inner ones count for those around them
+        _, k, around = main_of[number]
+        if around >= 0 and main_of[around][1] == k:
+            main_weight[around] += main_weight[number]
+    weighed = [(name, k, main_weight[number]) for number, (name, k, _) in main_of.items()]
+    if drops and not spared and (spared := spared_of(drops, weighed, kept)):
         return lines_of(page, spared)
-    return lines, mains
+    return lines, held
 
 
 def stretches(weights: list[int]) -> list[tuple[int, int]]:
@@ -325,48 +427,94 @@ def stretches(weights: list[int]) -> list[tuple[int, int]]:
     return found
 
 
+def heaviest(lines: list[Line], weights: list[int]) -> tuple[int, int] | None:
+    """The heaviest stretch; without any, the heaviest line; None without lines."""
+    if found := stretches(weights):
+        return max(found, key=lambda s: sum(line.weight for line in lines[s[0] : s[1]]))
+    full = [k for k, line in enumerate(lines) if line.text]
+    if not full:
+        return None
+    peak = max(full, key=lambda k: lines[k].weight)
+    return peak, peak + 1
+
+
+def widened(first: int, last: int, weights: list[int]) -> tuple[int, int]:
+    """A stretch (its last line's end) with the lines of text next to it, and a few of links."""
+    for step in (-1, 1):
+        k, links = (first - 1 if step < 0 else last), 0
+        while 0 <= k < len(weights) and (weights[k] or links < WINDOW - 1):
+            links = 0 if weights[k] else links + 1
+            k += step
+        if step < 0:
+            first = k + 1
+        else:
+            last = k
+    return first, last
+
+
 def main_text(page: str | None) -> str:
-    lines, main_numbers = lines_of(page or "")
+    lines, held = lines_of(page or "")
     weights = [0 if 2 * line.weight < len(line.text) else line.weight for line in lines]
-    found = stretches(weights)
-    total = [sum(line.weight for line in lines[a:b]) for a, b in found]
-    if found:
-        a, b = found[max(range(len(found)), key=total.__getitem__)]
-        peak = max(range(a, b), key=lambda k: lines[k].weight)
-    elif any(line.text for line in lines):
-        peak = max(range(len(lines)), key=lambda k: lines[k].weight)
-        a, b = peak, peak + 1
-    else:
+    top = heaviest(lines, weights)
+    if top is None:
         return ""
-    if mains := [m for m in lines[peak].inside if m in main_numbers]:
-        # the innermost marked element that holds most of the text around the peak
-        whole = sum(line.weight for line in lines if mains[0] in line.inside)
-        number = next((m for m in reversed(mains) if 2 * sum(line.weight for line in lines if m in line.inside) >= whole), mains[0])
-        return " ".join(line.text for line in lines if line.text and number in line.inside)
-    heaviest = max(total, default=0)
-    heavy = [s for s, t in zip(found, total, strict=True) if t >= SIDE_SHARE * heaviest] or [(a, b)]
-    found = found or [(a, b)]
-    common = holder(lines[k] for a, b in heavy for k in range(a, b))
-    keep = set() if common else set(range(heavy[0][0], heavy[-1][1]))
-    held = {common, *(holder(lines[a:b]) for a, b in found)}
+    peak = max(range(*top), key=lambda k: lines[k].weight)
+    mains = [m for m in held.chain(lines[peak].inside) if m in held.mains]
+    if not mains:
+        return " ".join(lines[k].text for k in _of_containers(lines, weights, held, top))
+    # the innermost main element that holds most of the text around the peak
+    total = {m: 0 for m in mains}
+    for line in lines:
+        if line.text:
+            m = next((m for m in mains if held.holds(m, line.inside)), None)
+            if m is not None:
+                total[m] += line.weight
+    upto, around = 0, sum(total.values())
+    for number in mains:
+        upto += total[number]
+        if 2 * upto >= around:
+            break
+    own = [k for k, line in enumerate(lines) if line.text and held.holds(number, line.inside)]
+    kept = [weights[k] for k in own]
+    if found := stretches(kept):
+        first, last = widened(found[0][0], found[-1][1], kept)
+    else:
+        first, last = widened(own.index(peak), own.index(peak) + 1, kept)
+    return " ".join(lines[k].text for k in own[first:last])
+
+
+def _of_containers(lines: list[Line], weights: list[int], held: Containers, top: tuple[int, int]) -> list[int]:
+    """Where no article or main element is around the peak: all stretches, widened to the ends of
+    the containers that hold them and by the lines of text of the same parents."""
+    found = stretches(weights) or [top]
+    total = [sum(line.weight for line in lines[a:b]) for a, b in found]
+    heavy = [s for s, t in zip(found, total, strict=True) if t >= SIDE_SHARE * max(total)]
+    common = holder((lines[k] for a, b in heavy for k in range(a, b)), held)
+    keep = set() if common >= 0 else set(range(heavy[0][0], heavy[-1][1]))
+    holders = {common, *(holder(lines[a:b], held) for a, b in found)}
     # what only dropped blocks part belongs together: stretches again, without the blank lines
     full = [k for k, line in enumerate(lines) if line.text]
     for a, b in stretches([weights[k] for k in full]):
         keep.update(full[a:b])
-    numbers, parents = {chain[-1] for chain in held if chain}, {chain[:-1] for chain in held}
+    ends: list[tuple[int, int]] = []  # first and last container of each holder, none in another
+    for number in sorted(h for h in holders if h >= 0):
+        if not ends or number > ends[-1][1]:
+            ends.append((number, held.last[number]))
+    parents = {held.around[h] if h >= 0 else -1 for h in holders}
     for k in full:
         inside = lines[k].inside
-        if not numbers.isdisjoint(inside) or weights[k] and (inside in parents or inside[:-1] in parents):
+        at = bisect_right(ends, (inside, len(held.around))) - 1
+        within = inside >= 0 and at >= 0 and inside <= ends[at][1]
+        if within or weights[k] and (inside in parents or inside >= 0 and held.around[inside] in parents):
             keep.add(k)
-    return " ".join(lines[k].text for k in full if k in keep)
+    return [k for k in full if k in keep]
 
 
-def holder(lines: Iterable[Line]) -> tuple[int, ...]:
-    """The containers around all of the lines that have text, outermost first; empty for body."""
-    chains = [line.inside for line in lines if line.text]
-    first, last = min(chains), max(chains)
-    same = [x == y for x, y in zip(first, last, strict=False)]
-    return first[: same.index(False) if False in same else len(same)]
+def holder(lines: Iterable[Line], held: Containers) -> int:
+    """The innermost container around all of the lines that have text; -1 for body."""
+    numbers = [line.inside for line in lines if line.text]
+    low, high = min(numbers), max(numbers)
+    return next((m for m in held.chain(low) if held.holds(m, high)), -1) if low >= 0 else -1
 
 
 def extract(pages: DataFrame) -> DataFrame:
