@@ -95,28 +95,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op10_fixity": """
         WITH pages_ AS (
-            SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
-                   CAST(floor(page_id / 1024.0) AS BIGINT) AS segment
-            FROM pages WHERE page_id IS NOT NULL
+            SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL
+        ), replicas AS (
+            SELECT 0 AS replica, page_id, url, html FROM pages_
+            UNION ALL
+            SELECT 1, page_id, url, CASE WHEN page_id % 97 = 13 THEN '?' || substr(html, 2) ELSE html END
+            FROM pages_ WHERE page_id % 389 <> 7
         ), records AS (
-            SELECT page_id, segment,
+            SELECT replica, page_id, CAST(floor(page_id / 1024.0) AS BIGINT) AS segment,
                    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
                    || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
                    || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
                    || 'Content-Type: text/html' || chr(13) || chr(10)
                    || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10)
                    || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
-            FROM pages_
+            FROM replicas
         ), hashed AS (
-            SELECT page_id, segment, CAST(octet_length(encode(record)) AS BIGINT) AS length, sha256(record) AS digest
+            SELECT replica, page_id, segment, CAST(octet_length(encode(record)) AS BIGINT) AS length, sha256(record) AS digest
             FROM records
+        ), placed AS (
+            SELECT *, CAST(row_number() OVER w - 1 AS BIGINT) AS position,
+                   CAST(coalesce(sum(length) OVER (PARTITION BY segment ORDER BY page_id, digest
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+            FROM hashed WHERE replica = 0 WINDOW w AS (PARTITION BY segment ORDER BY page_id, digest)
         )
-        SELECT page_id, segment,
-               CAST(row_number() OVER w - 1 AS BIGINT) AS position,
-               CAST(coalesce(sum(length) OVER (PARTITION BY segment ORDER BY page_id, digest
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
-               length, digest,
-               CASE WHEN page_id % 389 = 7 THEN 'missing' WHEN page_id % 97 = 13 THEN 'damaged' ELSE 'ok' END AS status
-        FROM hashed WINDOW w AS (PARTITION BY segment ORDER BY page_id, digest)
+        SELECT a.page_id, a.segment, a.position, a.start, a.length, a.digest,
+               CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.digest <> b.digest THEN 'damaged' ELSE 'ok' END AS status
+        FROM placed a LEFT JOIN hashed b ON b.replica = 1 AND b.page_id = a.page_id
     """,
 }

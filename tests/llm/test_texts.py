@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from sheetloom.llm import avi_jpeg as A
 from sheetloom.llm import bloom_sketch as B
 from sheetloom.llm import fixity as X
+from sheetloom.llm import main_text as W
 from sheetloom.llm import quality as Q
 from sheetloom.llm.common import texts_of
 from sheetloom.llm.main_text import extract, main_text
@@ -68,6 +70,45 @@ def test_light_parts_of_the_text_are_kept(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a title='" * 100_000, "<p x=\">" * 120_000, "<div>" * 100_000 + ARTICLE, "<nav>" * 100_000 + ARTICLE, "<article>" * 50_000 + ARTICLE, "<p>x</div>" * 100_000, "<!--" * 250_000, "<![CDATA[" * 100_000, "</x" * 300_000])
+def test_hostile_pages_take_linear_time(page):
+    begin = time.process_time()
+    main_text(page)
+    assert time.process_time() - begin < 5
+
+
+def plain_stretches(weights):
+    """Surge and dive of every window, one window sum after another."""
+    found, inside = [], None
+    for k in range(len(weights) + 1):
+        total = sum(weights[k : k + W.WINDOW])
+        if inside is None and total > W.LEAST_SURGE:
+            inside = k
+        elif inside is not None and (k == len(weights) or total == 0):
+            first = next(i for i in range(inside, k) if weights[i])
+            found.append((first, k))
+            inside = None
+    return found
+
+
+def test_stretches_are_what_windows_tell():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        weights = (rng.integers(0, 60, 30) * (rng.random(30) < rng.random())).tolist()
+        assert W.stretches(weights) == plain_stretches(weights)
+
+
+def test_the_stretch_is_the_text(monkeypatch):
+    """Lists of links at the ends of an article are no text; a search for the heaviest line alone
+    gives other texts than surge and dive."""
+    menu = "<li><a href=x>menu</a>" * 5
+    page = f"<article>{menu}<h1>T</h1><p>{ARTICLE}</p>{menu}<p>{ARTICLE}</p><p>End.</p>{menu}</article>"
+    text = f"menu menu T {ARTICLE} {'menu ' * 5}{ARTICLE} End. menu menu"
+    assert main_text(page) == text
+    monkeypatch.setattr(W, "stretches", lambda weights: [])
+    assert main_text(page) != text
+
+
 def test_pages(spark):
     held = [(1, "u", f"<article><p>{ARTICLE}</article>"), (2, None, None), (None, "u", "<p>é</p>"), (1, "u", f"<article><p>{ARTICLE}</article>"), (3, "v", f"<article>{'<p>' + ARTICLE:s}</article>" * 500)]
     df = spark.createDataFrame(held, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(None).cast("int"))
@@ -261,3 +302,34 @@ def test_fixity_offsets_and_bytes(spark):
     none = X.leaves(X.archive(p.limit(0)))
     assert X.audit(none, none).count() == 0 and X.root(none).count() == 0
     assert X.audit(none, X.leaves(X.archive(p))).where("status = 'extra'").count() == p.count()
+
+
+@pytest.mark.parametrize("faults", [0, 1, 10])
+def test_sparse_damage_is_found_by_few_comparisons(spark, faults):
+    """The descent looks at the children of nodes that differ and at no others, wherever offsets move."""
+    n = 20_000
+    held = [(k, f"http://x/{k}", f"page {k} " + "x" * (k % 90)) for k in range(n)]
+    wrong = {n // 11 * (k + 1) - 1 for k in range(faults)}
+    other = [(k, u, t + "?" if k % 2 else t) for k, u, t in held if k not in wrong or k % 2]
+    other = [(k, u, t) if k in wrong else held[k] for k, u, t in other]
+    schema = "page_id long, url string, html string"
+    first, second = (X.leaves(X.archive(spark.createDataFrame(x, schema).repartition(4))) for x in (held, other))
+    steps = X.descent(first, second)
+    looked = [s.count() for s in steps]
+    assert sum(looked) <= max(1, faults * X.FANOUT * len(steps)) and len(steps) <= 5
+    found = X.audit(first, second).where("status <> 'ok'").collect()
+    assert {(r.page_id, r.status) for r in found} == {(k, "damaged" if k % 2 else "missing") for k in wrong}
+
+
+def test_fixity_bears_odd_keys(spark):
+    """Ids beyond doubles and below zero, an id with very many rows, equal rows, a long record."""
+    held = [(k, "u", f"t{k}") for k in (-(1 << 63), -70, -1, 0, (1 << 53) + 1, (1 << 53) + 2, (1 << 63) - 1)]
+    held += [(5, "u", f"v{k % 300}") for k in range(900)] + [(6, "u", "same")] * 9000 + [(7, "u", "é" * 2_000_000)]
+    df = spark.createDataFrame(held, "page_id long, url string, html string").repartition(4)
+    first = X.leaves(X.archive(df))
+    assert first.count() == len(held) == first.select("segment", "position").distinct().count()
+    order = first.where("segment = 0").orderBy("position").collect()
+    assert all(a.start + a.length == b.start and a.position + 1 == b.position and (a.page_id, a.digest) <= (b.page_id, b.digest) for a, b in zip(order, order[1:], strict=False))
+    second = X.leaves(X.archive(df.where("NOT (page_id = 5 AND html = 'v7') AND page_id <> 9007199254740994").union(df.where("page_id = 6").limit(1))))
+    status = sorted((r.page_id, r.status) for r in X.audit(first, second).where("status <> 'ok'").collect())
+    assert status == [(5, "missing")] * 3 + [(6, "extra"), ((1 << 53) + 2, "missing")]
