@@ -23,51 +23,51 @@ from ..functions.tree import CssError, Node, parse
 from ..functions.values import declaration_key
 from ..plans.options import Options
 
-#: One row per node; sheets that do not parse have one row of kind "error".
+#: One row per node; sheets that cannot be read have one row of kind "error".
 NODES = """sheet_id long, node_id int, parent_id int, seq int, depth int, kind string, name string, params string,
 selector string, selectors array<string>, prop string, value string, important boolean, line int, col int, text string,
 raw_before string, raw_between string, container_id int, scope_key string, scope_label string, rule_kind string,
 rule_selector string, rule_selectors array<string>, rule_line int, rule_col int, selector_key string, prop_norm string,
 decl_key string, error string"""
-_FIELDS = [f.split()[0] for f in NODES.replace("\n", " ").split(", ")]
 
 
-def node_rows(css: str, aggressive: bool) -> Iterator[dict]:
-    """The rows of one sheet's nodes, in document order."""
+def node_rows(css: str, aggressive: bool) -> list[dict]:
+    """The rows of one sheet's nodes, in document order; one of kind "error" for a sheet that does
+    not parse, or that anything else goes wrong with."""
     try:
-        root = parse(css)
+        return list(_node_rows(parse(css), aggressive))
     except CssError as e:
-        yield {"node_id": 0, "kind": "error", "line": e.line, "col": e.column, "error": e.reason}
-        return
+        return [{"node_id": 0, "kind": "error", "line": e.line, "col": e.column, "error": e.reason}]
+    except Exception as e:  # one sheet never fails the others
+        return [{"node_id": 0, "kind": "error", "error": f"{type(e).__name__}: {e}"}]
+
+
+def _node_rows(root: Node, aggressive: bool) -> Iterator[dict]:
     names = {node: scope_names(chain) for node, chain in containers(root)}
     number: dict[Node, int] = {root: 0}
-
-    def visit(block: Node, depth: int) -> Iterator[dict]:
+    depth: dict[Node, int] = {root: 0}
+    for n in root.walk():
+        block = n.parent
+        number[n], depth[n] = len(number), depth[block] + 1
         key, label = names[block]
-        for n in block.children:
-            number[n] = len(number)
-            row = {"node_id": number[n], "parent_id": number[block], "seq": number[n], "depth": depth, "kind": n.kind, "line": n.line, "col": n.column, "raw_before": n.before, "raw_between": n.between, "container_id": number[block], "scope_key": key, "scope_label": label}
-            if n.kind == "rule":
-                row |= {"selector": n.text, "selectors": split_list(n.text), "selector_key": list_key(n.text)}
-            elif n.kind == "atrule":
-                row |= {"name": n.name, "params": n.text.strip()}
-            elif n.kind == "comment":
-                row |= {"text": n.text.strip()}
-            else:
-                in_rule = block.kind == "rule"
-                selector = block.text if in_rule else at_rule_label(block)
-                if in_rule:  # a declaration's scope is its rule's
-                    row |= dict(zip(("scope_key", "scope_label"), names[block.parent], strict=True)) | {"container_id": number[block.parent]}
-                row |= {
-                    "prop": n.name, "value": n.text, "important": n.important, "rule_kind": block.kind, "rule_selector": selector,
-                    "rule_selectors": split_list(selector) if in_rule else [selector], "rule_line": block.line, "rule_col": block.column,
-                    "prop_norm": one_name(n.name, aggressive), "decl_key": declaration_key(n.name, n.text, n.important, aggressive),
-                }
-            yield row
-            if n.children is not None:
-                yield from visit(n, depth + 1)
-
-    yield from visit(root, 1)
+        row = {"node_id": number[n], "parent_id": number[block], "seq": number[n], "depth": depth[n], "kind": n.kind, "line": n.line, "col": n.column, "raw_before": n.before, "raw_between": n.between, "container_id": number[block], "scope_key": key, "scope_label": label}
+        if n.kind == "rule":
+            row |= {"selector": n.text, "selectors": split_list(n.text), "selector_key": list_key(n.text)}
+        elif n.kind == "atrule":
+            row |= {"name": n.name, "params": n.text.strip()}
+        elif n.kind == "comment":
+            row |= {"text": n.text.strip()}
+        else:
+            in_rule = block.kind == "rule"
+            selector = block.text if in_rule else at_rule_label(block)
+            if in_rule:  # a declaration's scope is its rule's
+                row |= dict(zip(("scope_key", "scope_label"), names[block.parent], strict=True)) | {"container_id": number[block.parent]}
+            row |= {
+                "prop": n.name, "value": n.text, "important": n.important, "rule_kind": block.kind, "rule_selector": selector,
+                "rule_selectors": split_list(selector) if in_rule else [selector], "rule_line": block.line, "rule_col": block.column,
+                "prop_norm": one_name(n.name, aggressive), "decl_key": declaration_key(n.name, n.text, n.important, aggressive),
+            }
+        yield row
 
 
 def nodes(sheets: DataFrame, options: Options = Options()) -> DataFrame:

@@ -16,10 +16,9 @@ from ..functions import expressions as E
 from ..functions import udfs as U
 from ..functions.selectors import DEFAULT_IGNORED
 from ..operators import detect, report, safety
-from ..operators.consolidate import dedup
-from ..operators.tables import declarations, nodes
+from ..operators.consolidate import conventions, dedup
+from ..operators.tables import declarations, nodes, rules
 from ..sources.sheets import style_tags
-from .cases import LISTS, PAIRS, SHEETS, VALUES
 from .options import Options
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,37 +99,54 @@ def shortest_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.shortest_spelling(d.withColumn("value", F.concat(F.repeat(F.lit("0"), F.col("decl_pos") % 3), "value")))
 
 
-@query("""WITH gaps AS (SELECT user_id, event_type AS gap, count(*) AS n, min(event_id) AS first_seq FROM events GROUP BY user_id, event_type)
-    SELECT user_id, arg_max(gap, (n, -first_seq)) AS gap FROM gaps GROUP BY user_id""")
+def _style_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet a user of events, one rule an event, in order: the event's type decides the gap before
+    the rule, whether its list is spaced, and whether it stands in an anonymous layer."""
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    kind = F.col("event_type")
+    gap = F.when(kind == "click", "\n\n").when(kind == "view", "\n").otherwise(" ")
+    rule = F.concat(F.lit(".a"), F.col("event_id").cast("string"), F.when(kind == "click", ", ").otherwise(","), F.lit(".b { top: 0; }"))
+    layer = F.when(kind == "click", F.concat(F.lit("@layer { "), rule, F.lit(" }"))).otherwise(rule)
+    texts = F.array_sort(F.collect_list(F.struct("event_id", F.concat(gap, layer).alias("text"))))
+    return events.groupBy(F.col("user_id").alias("sheet_id")).agg(F.array_join(texts["text"], "").alias("css"))
+
+
+_GAP_SQL = "CASE event_type WHEN 'click' THEN chr(10) || chr(10) WHEN 'view' THEN chr(10) ELSE ' ' END"
+
+
+@query(f"""WITH placed AS (SELECT user_id, {_GAP_SQL} AS gap, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+  gaps AS (SELECT user_id, gap, count(*) AS times, min(n) AS first_n FROM placed WHERE n > 1 GROUP BY user_id, gap), users AS (SELECT DISTINCT user_id FROM events)
+  SELECT u.user_id AS sheet_id, coalesce(arg_max(gap, (times, -first_n)), chr(10)) AS gap FROM users u LEFT JOIN gaps g USING (user_id) GROUP BY u.user_id""")
 def separator_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent gap of a block; of equally frequent ones the first seen."""
-    gaps = _table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("gap")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_seq"))
-    return gaps.groupBy("user_id").agg(F.max_by("gap", F.struct("n", -F.col("first_seq"))).alias("gap"))
+    """The most frequent gap of a sheet's rules; of equally frequent ones the first seen."""
+    return conventions(_style_sheets(spark, sf_dir)).select("sheet_id", "gap")
 
 
-@query("SELECT o_custkey AS sheet_id, count(*) FILTER (o_orderpriority < '3') AS yes, count(*) FILTER (o_orderpriority > '4') AS no, count(*) FILTER (o_orderpriority < '3') > count(*) FILTER (o_orderpriority > '4') AS more, count(*) FILTER (o_orderpriority < '3') >= count(*) FILTER (o_orderpriority > '4') AS at_least FROM orders GROUP BY o_custkey")
+@query("SELECT user_id AS sheet_id, CASE WHEN count(*) FILTER (event_type = 'click') >= count(*) FILTER (event_type <> 'click') THEN ', ' ELSE ',' END AS comma, false AS one_a_line FROM events GROUP BY user_id")
 def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes with abstentions, and both ways to settle a tie."""
-    yes, no = F.count_if(F.col("o_orderpriority") < "3"), F.count_if(F.col("o_orderpriority") > "4")
-    return _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("sheet_id")).agg(yes.alias("yes"), no.alias("no"), (yes > no).alias("more"), (yes >= no).alias("at_least"))
+    """How most of a sheet's selector lists are spaced; ties go to the space."""
+    return conventions(_style_sheets(spark, sf_dir)).select("sheet_id", "comma", "one_a_line")
 
 
-@query("SELECT user_id AS sheet_id, event_id AS node_id, '@layer (anonymous ' || row_number() OVER (PARTITION BY user_id ORDER BY event_id) || ')' AS label FROM events WHERE event_type = 'click'")
+@query("SELECT user_id AS sheet_id, '.a' || event_id || ', .b' AS selector, '@layer (anonymous ' || row_number() OVER (PARTITION BY user_id ORDER BY event_id) || ')' AS label FROM events WHERE event_type = 'click'")
 def anonymous_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    clicks = _table(spark, sf_dir, "events").where("event_type = 'click'")
-    return clicks.select(F.col("user_id").alias("sheet_id"), F.col("event_id").alias("node_id"), F.format_string("@layer (anonymous %d)", n).alias("label"))
+    found = rules(nodes(_style_sheets(spark, sf_dir))).where("scope_label <> 'root'")
+    return found.select("sheet_id", "selector", F.col("scope_label").alias("label"))
 
 
-@query("SELECT l_suppkey AS sheet_id, l_orderkey AS line, l_linenumber AS col, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS INTEGER) AS place FROM lineitem")
+@query(f"WITH {_DECLS_SQL}, placed AS (SELECT DISTINCT sheet_id, scope_key, rule_pos FROM decls) SELECT rule_pos, CAST(row_number() OVER (PARTITION BY sheet_id, scope_key ORDER BY rule_pos) AS INTEGER) AS place FROM placed")
 def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber"))
-    return _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet_id"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("col"), place.alias("place"))
+    """Rules in the order of their lines, as parsing numbers them."""
+    found = rules(nodes(synthetic_sheets(spark, sf_dir)))
+    place = F.row_number().over(Window.partitionBy("sheet_id").orderBy("rule_pos"))
+    return found.select(F.regexp_extract("selector", r"\d+", 0).cast("long").alias("rule_pos"), place.alias("place"))
 
 
-@query(f"WITH {_DECLS_SQL} SELECT sheet_id, list_sort(list(DISTINCT scope_key)) AS scopes, count(DISTINCT scope_key) AS n_scopes FROM decls GROUP BY sheet_id")
+@query(f"WITH {_DECLS_SQL}, {_GROUPS_SQL} SELECT sheet_id, scope_key, count(*) AS n FROM groups GROUP BY sheet_id, scope_key")
 def findings_by_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return declaration_view(spark, sf_dir).groupBy("sheet_id").agg(F.array_sort(F.collect_set("scope_key")).alias("scopes"), F.countDistinct("scope_key").alias("n_scopes"))
+    """Duplicate findings of sheets whose scopes are at-rules, by scope."""
+    found = detect.analyze(synthetic_sheets(spark, sf_dir, whole=True)).where("kind = 'duplicate'")
+    return found.groupBy("sheet_id", F.regexp_extract("scope", r"^@media (.*)$", 1).alias("scope_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- joins: safety
@@ -331,24 +347,35 @@ def _page_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style_tags(_table(spark, sf_dir, "pages")).groupBy(F.col("page_id").alias("sheet_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("tag_no", "css")))["css"], "\n").alias("css"))
 
 
-@query(r"""SELECT page_id AS sheet_id, 'p' AS rule_selector, 'margin' AS prop, '0' AS value, 'margin: 0' AS decl_key, 1 AS line, 'root' AS scope_key FROM pages WHERE regexp_matches(html, '<style>p\{margin:0\}</style>')""")
+_STYLE_SQL = r"""styles AS (SELECT page_id, regexp_extract(html, '<style>([^{}]*)\{([^:]*):([^}]*)\}</style>', ['sel', 'prop', 'val']) AS s FROM pages)"""
+
+
+@query(f"WITH {_STYLE_SQL} SELECT page_id AS sheet_id, s.sel AS rule_selector, s.prop AS prop, s.val AS value, s.prop || ': ' || s.val AS decl_key, 1 AS line, 'root' AS scope_key FROM styles WHERE s.sel <> ''")
 def inline_style_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return declarations(nodes(_page_sheets(spark, sf_dir))).select("sheet_id", "rule_selector", "prop", "value", "decl_key", "line", "scope_key")
 
 
-@query(r"SELECT page_id AS sheet_id, 'p{margin:0}' AS css_out, 0 AS n_applied, 0 AS n_skipped, CAST(0 AS BIGINT) AS saved FROM pages")
+@query(f"WITH {_STYLE_SQL} SELECT page_id AS sheet_id, s.sel || ',.p' || page_id || '{{' || s.prop || ':' || s.val || '}}.q{{order:' || length(url) || '}}' AS css_out, 1 AS n_applied, 0 AS n_skipped, CAST(length(s.prop || s.val) + 4 AS BIGINT) AS saved FROM styles JOIN pages USING (page_id) WHERE s.sel <> ''")
 def consolidate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = dedup(_page_sheets(spark, sf_dir))
+    """The style of each page with rules of its own behind it: one says the same in other words."""
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("sheet_id"), F.length("url").cast("string").alias("order"))
+    own = F.concat(F.lit(".p"), F.col("sheet_id").cast("string"), F.lit("{margin:0PX}.q{order:"), F.col("order"), F.lit("}"))
+    sheets = _page_sheets(spark, sf_dir).join(pages, "sheet_id").select("sheet_id", F.concat("css", own).alias("css"))
+    r = dedup(sheets)
     return r.select("sheet_id", "css_out", F.size("applied").alias("n_applied"), F.size("skipped").alias("n_skipped"), F.col("bytes.saved").alias("saved"))
 
 
-def synthetic_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The declaration view as texts: one sheet per sheet and scope, rules in order."""
+def synthetic_sheets(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """The declaration view as texts: one sheet per sheet and scope, rules in order; or whole ones,
+    whose scopes are media blocks."""
     d = declaration_view(spark, sf_dir)
     rule = d.groupBy("sheet_id", "scope_key", "rule_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("decl_pos", "decl_key"))), lambda x: F.concat(F.lit("  "), x["decl_key"], F.lit(";\n"))), "").alias("body"))
     text = F.format_string(".r%d {\n%s}\n", "rule_pos", "body")
-    whole = rule.groupBy("sheet_id", "scope_key").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rule_pos", text.alias("text"))))["text"], "\n").alias("css"))
-    return whole.select(F.xxhash64("sheet_id", "scope_key").alias("sheet_id"), "css")
+    blocks = rule.groupBy("sheet_id", "scope_key").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rule_pos", text.alias("text"))))["text"], "\n").alias("css"))
+    if whole:
+        block = F.format_string("@media %s {\n%s}\n", "scope_key", "css")
+        return blocks.groupBy("sheet_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("scope_key", block.alias("text"))))["text"], "\n").alias("css"))
+    return blocks.select(F.xxhash64("sheet_id", "scope_key").alias("sheet_id"), "css")
 
 
 @query(None)
@@ -357,11 +384,16 @@ def consolidate_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("sheet_id", F.size("applied").alias("n_applied"), F.size("skipped").alias("n_skipped"), F.col("bytes.before").alias("before"), F.col("bytes.saved").alias("saved"))
 
 
-@query(f"""WITH {_DECLS_SQL}, {_GROUPS_SQL}, found AS (SELECT 'duplicate' AS kind, count(*) AS n FROM groups
-  UNION ALL SELECT 'redundant', count(*) FROM (SELECT row_number() OVER (PARTITION BY sheet_id, scope_key, rule_id, decl_key ORDER BY decl_pos) AS nth FROM decls) WHERE nth > 1) SELECT * FROM found WHERE n > 0""")
+@query(f"""WITH {_DECLS_SQL}, {_GROUPS_SQL}, found AS (
+    SELECT sheet_id, 'duplicate' AS kind, scope_key, decl_key, first_pos, last_pos, n_rules AS n FROM groups
+    UNION ALL SELECT sheet_id, 'redundant', scope_key, decl_key, rule_id, rule_id, 1 FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, scope_key, rule_id, decl_key ORDER BY decl_pos) AS nth FROM decls) WHERE nth > 1)
+  SELECT sheet_id, kind, '@media ' || scope_key AS scope, CASE WHEN decl_key = 'border-top: 0px' THEN 'border-top: none' ELSE replace(decl_key, ' 0px', ' 0') END AS key,
+    '.r' || first_pos AS first_selector, '.r' || last_pos AS last_selector, n FROM found""")
 def findings_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts written, parsed and analyzed again: as many findings as the view has."""
-    return detect.analyze(synthetic_sheets(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Texts written, parsed and analyzed again: the findings that the view has."""
+    found = detect.analyze(synthetic_sheets(spark, sf_dir, whole=True))
+    end = lambda k: F.element_at("occurrences", k)["selector"]
+    return found.select("sheet_id", "kind", "scope", "key", end(1).alias("first_selector"), end(-1).alias("last_selector"), F.size("occurrences").cast("long").alias("n"))
 
 
 @query("SELECT DISTINCT path FROM (SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS path FROM pages) WHERE NOT regexp_matches(path, '(?i)^M\\.|\\.net$')")
@@ -373,65 +405,122 @@ def path_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.where(~path_ignored(F.col("path"), (r"(?i)^M\.", r"(?i)\.net$")))
 
 
-@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT '/css/' || p_partkey || '.css' AS path FROM part EXCEPT SELECT '/css/' || p_partkey || '.css' FROM part WHERE p_partkey % 10 = 3 OR p_size = 7")
 def except_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+    """Paths of which some are listed twice, some are excluded by a pattern, some by their names."""
+    from ..sources.sheets import path_ignored
+
+    path = F.concat(F.lit("/css/"), F.col("p_partkey").cast("string"), F.lit(".css"))
+    paths = _table(spark, sf_dir, "part").select(path.alias("path"), "p_size")
+    twice = paths.union(paths.where("p_size > 25")).where(~path_ignored(F.col("path"), (r"(^|\D|\d)3\.css$",)))
+    return twice.select("path").distinct().join(paths.where("p_size = 7").select("path"), "path", "left_anti")
 
 
-# -- functions with grammar, against what must come out
+# -- functions with grammar, over values and selectors made from whole tables
 
+@query("""WITH v AS (SELECT p_partkey, p_size, p_partkey % 8 AS k, p_partkey % 256 AS r, p_size * 5 % 256 AS g, (p_partkey * 7) % 256 AS b FROM part)
+  SELECT p_partkey, CASE k WHEN 0 THEN '#' || lower(lpad(to_hex(r), 2, '0') || lpad(to_hex(g), 2, '0') || lpad(to_hex(b), 2, '0'))
+    WHEN 1 THEN p_size || 'px' || CASE WHEN p_size % 2 = 0 THEN '' ELSE ' 0' END WHEN 2 THEN (p_size * 1250) || 'ms'
+    WHEN 3 THEN 'max(' || least(p_size || 'px', r || 'px') || ',' || greatest(p_size || 'px', r || 'px') || ')' WHEN 4 THEN 'var(--X' || r || ')'
+    WHEN 5 THEN CASE WHEN p_size % 2 = 0 THEN '700' ELSE '400' END WHEN 6 THEN (9 * p_size) || 'deg' ELSE p_size || ',' || r END AS value FROM v""")
+def normalize_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours, boxes, times, nested functions, names, weights and angles, aggressively."""
+    part = _table(spark, sf_dir, "part")
+    n, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    r, g, b = (x.cast("string") for x in (n % 256, F.col("p_size") * 5 % 256, n * 7 % 256))
+    even = F.col("p_size") % 2 == 0
+    made = [
+        ("color", F.concat_ws("", F.lit("RGB( "), r, F.lit(" , "), g, F.lit(", "), b, F.lit(" )"))),
+        ("margin", F.concat_ws("", size, F.lit("px  "), F.when(even, F.concat(size, F.lit("px"))).otherwise(F.lit("0.0em")))),
+        ("transition-delay", F.concat((F.col("p_size") * 125 / 100).cast("decimal(20,4)").cast("string"), F.lit("S"))),
+        ("width", F.concat_ws("", F.lit("MAX("), r, F.lit("px , "), size, F.lit("px)"))),
+        ("top", F.concat_ws("", F.lit("var( --X"), r, F.lit(" )"))),
+        ("font-weight", F.when(even, F.lit("Bold")).otherwise(F.lit("NORMAL"))),
+        ("rotate", F.concat((F.col("p_size") * 10).cast("string"), F.lit("GRAD"))),
+        ("--list", F.concat_ws("", F.lit("  "), size, F.lit(","), r, F.lit(" "))),
+    ]
+    prop, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (p, v) in enumerate(made):
+        prop, value = F.when(n % 8 == k, F.lit(p)).otherwise(prop), F.when(n % 8 == k, v).otherwise(value)
+    return part.select("p_partkey", U.normalized_value(prop, value, aggressive=True).alias("value"))
+
+
+@query("""SELECT p_partkey, ['.' || replace(p_brand, '#', '-') || ':is(.a, .b)', '[t="' || p_type || ', x"]', '#k' || p_size || '/* , */'] AS selectors,
+  array_to_string(list_sort(['.' || replace(p_brand, '#', '-') || ':is(.a, .b)', '[t="' || p_type || ', x"]', '#k' || p_size || '/* , */']), ',') AS key, p_partkey % 2 = 0 AS spaced FROM part""")
+def selector_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists with commas in brackets, strings and comments."""
+    comma = F.when(F.col("p_partkey") % 2 == 0, F.lit(", ")).otherwise(F.lit(","))
+    text = F.concat(F.lit("."), F.translate("p_brand", "#", "-"), F.lit(":is(.a, .b)"), comma, F.lit('[t="'), F.col("p_type"), F.lit(', x"]'), F.lit(" ,#k"), F.col("p_size").cast("string"), F.lit("/* , */"))
+    return _table(spark, sf_dir, "part").select("p_partkey", U.split_selectors(text).alias("selectors"), U.selector_list_key(text).alias("key"), U.spaced_comma(text).alias("spaced"))
 
-def _literal(x) -> str:
-    if isinstance(x, bool):
-        return str(x).upper()
-    if isinstance(x, int):
-        return str(x)
-    if isinstance(x, list):
-        return "[" + ", ".join(map(_literal, x)) + "]"
-    return "'" + x.replace("'", "''") + "'"
 
+@query("""SELECT l_orderkey, l_linenumber, l_partkey % 5 <> l_suppkey % 5 AND l_linenumber % 4 IN (0, 1) AS exclusive, l_linenumber % 3 = 1 AND l_partkey % 5 <> l_suppkey % 5 AS disjoint,
+  CASE l_linenumber % 3 WHEN 0 THEN ['x'] WHEN 1 THEN ['c' || (l_partkey % 5)] ELSE ['c' || (l_partkey % 5), 'x'] END AS classes FROM lineitem""")
+def selector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs by attributes that bind their element or do not, likelihood by classes."""
+    n, p, q = (F.col(c).cast("string") if c == "x" else F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey"))
 
-def _expected(columns: str, rows: list[tuple]) -> str:
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) t({columns})"
+    def attribute(k: Column) -> Column:
+        value = F.concat(F.lit("[data-k='v"), (k % 5).cast("string"), F.lit("']"))
+        return F.when(n % 4 == 0, F.concat(value, F.lit(" > i"))).when(n % 4 == 1, F.concat(F.lit("html"), value, F.lit(" p i"))).when(n % 4 == 2, F.concat(value, F.lit(" ~ i"))).otherwise(F.concat(F.lit("i:not("), value, F.lit(")")))
 
+    def classes(k: Column) -> Column:
+        own = F.concat(F.lit(".c"), (k % 5).cast("string"))
+        return F.when(n % 3 == 0, F.lit("b .x")).when(n % 3 == 1, F.concat(F.lit("a > "), own, F.lit(":hover"))).otherwise(F.concat(own, F.lit(".x")))
 
-def _by_property(aggressive: bool) -> Column:
-    one = U.normalized_value(F.col("prop"), F.col("value"), aggressive)
-    return one
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", U.mutually_exclusive(attribute(p), attribute(q)).alias("exclusive"), U.likely_disjoint(classes(p), classes(q)).alias("disjoint"), U.subject(classes(p))["classes"].alias("classes"))
 
 
-@query(_expected("prop, value, spelling, aggressive_spelling", VALUES))
-def normalize_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([r[:2] for r in VALUES], "prop string, value string")
-    return d.select("prop", "value", _by_property(False).alias("spelling"), _by_property(True).alias("aggressive_spelling"))
+@query("""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 7 AS a, o_custkey % 7 AS b FROM orders)
+  SELECT k AS sheet_id, CASE WHEN a = b THEN '.x, .y { left: ' || a || 'px; }' || chr(10) ELSE '.x { left: ' || a || 'px; }' || chr(10) || '.y { left: ' || b || 'px; }' || chr(10) END
+    || '.z { order: 1; top: ' || b || 'px; }' || chr(10) AS css_out,
+    CASE WHEN a = b THEN 1 ELSE 0 END AS n_applied FROM r""")
+def consolidate_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet an order: two rules that are one where their values agree, and one with others."""
+    o = _table(spark, sf_dir, "orders")
+    a, b = ((F.col(c) % 7).cast("string") for c in ("o_orderkey", "o_custkey"))
+    css = F.concat(F.lit(".x { left: "), a, F.lit("PX; }\n.y { left: "), b, F.lit("px; }\n.z { order: 1; top: "), b, F.lit("px; }\n"))
+    r = dedup(o.select(F.col("o_orderkey").alias("sheet_id"), css.alias("css")))
+    return r.select("sheet_id", F.regexp_replace("css_out", "PX", "px").alias("css_out"), F.size("applied").alias("n_applied"))
 
 
-@query(_expected("list, selectors", LISTS))
-def selector_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([r[:1] for r in LISTS], "list string")
-    return d.select("list", U.split_selectors(F.col("list")).alias("selectors"))
+@query("SELECT p_partkey, '[\"@media ' || p_brand || '\", \".a b\"]' AS scope_key, '@media ' || p_brand || ' > .a b' AS scope_label FROM part")
+def scope_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key and label of the chain of blocks around a declaration, as parsing tells them."""
+    css = F.concat(F.lit("@media  "), F.col("p_brand"), F.lit("\n{ .a   b { & c { top: 0 } } }"))
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sheet_id"), css.alias("css"))
+    return declarations(nodes(part)).select(F.col("sheet_id").alias("p_partkey"), "scope_key", "scope_label")
 
 
-@query(_expected("a, b, exclusive, disjoint", PAIRS))
-def selector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([r[:2] for r in PAIRS], "a string, b string")
-    return d.select("a", "b", U.mutually_exclusive(F.col("a"), F.col("b")).alias("exclusive"), U.likely_disjoint(F.col("a"), F.col("b")).alias("disjoint"))
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size || ' ' || p_size || 'px (' || p_size || ',.5)' ELSE 'a+' || p_size || ' +b' END AS value FROM part")
+def normalize_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plus goes before a number at the beginning of a part, and stays elsewhere."""
+    n = F.col("p_size").cast("string")
+    signed = F.concat_ws("", F.lit("+"), n, F.lit(" +"), n, F.lit("px (+"), n, F.lit(",+.5)"))
+    text = F.when(F.col("p_partkey") % 2 == 0, signed).otherwise(F.concat_ws("", F.lit("a+"), n, F.lit(" +b")))
+    return _table(spark, sf_dir, "part").select("p_partkey", E.plus_signs(text).alias("value"))
 
 
-@query(_expected("case_no, css_out, n_applied, n_skipped", [(k, r[2], r[3], r[4]) for k, r in enumerate(SHEETS)]))
-def consolidate_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for aggressive in (False, True):
-        d = spark.createDataFrame([(k, r[0]) for k, r in enumerate(SHEETS) if r[1] == aggressive], "sheet_id long, css string")
-        one = dedup(d, Options(aggressive=aggressive)).select(F.col("sheet_id").cast("int").alias("case_no"), "css_out", F.size("applied").alias("n_applied"), F.size("skipped").alias("n_skipped"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet an order of two rules with one declaration in common, which gets a rule of its own:
+    that saves ten bytes and costs both selectors once more, one of them of varying length."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sheet_id"), (F.col("o_custkey") % 30).cast("int").alias("w"))
+    return o.select("sheet_id", "w", F.concat(F.lit(".x"), F.repeat(F.lit("y"), "w"), F.lit("{order:1;left:0}.z{order:1;top:0}")).alias("css"))
 
 
-@query("SELECT p_partkey, CAST(to_json([p_brand, p_type]) AS VARCHAR) AS scope_key, p_brand || ' > ' || p_type AS scope_label FROM part")
-def scope_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key and label of a chain of blocks."""
-    chain = F.array("p_brand", "p_type")
-    return _table(spark, sf_dir, "part").select("p_partkey", F.to_json(chain).alias("scope_key"), F.array_join(chain, " > ").alias("scope_label"))
+@query("""WITH g AS (SELECT o_orderkey, CAST(o_custkey % 30 AS BIGINT) AS w FROM orders), d AS (SELECT *, w + 35 AS before, 2 - w AS saved FROM g)
+  SELECT o_orderkey AS sheet_id, before, CASE WHEN saved < 0 THEN 0 ELSE saved END AS saved, saved < 0 AS withheld FROM d""")
+def savings_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consolidation is withheld where it would make a sheet bigger."""
+    r = dedup(_grown(spark, sf_dir).select("sheet_id", "css"), Options(savings_only=True))
+    return r.select("sheet_id", F.col("bytes.before").alias("before"), F.col("bytes.saved").alias("saved"), F.col("withheld").isNotNull().alias("withheld"))
 
 
+@query("SELECT o_orderkey AS sheet_id, '@font-face' AS scope, 'src: a' || (o_custkey % 9) AS key, 2 AS n FROM orders WHERE o_custkey % 9 = o_orderkey % 9")
+def at_rule_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations that a block without selector has twice."""
+    o = _table(spark, sf_dir, "orders")
+    a, b = ((F.col(c) % 9).cast("string") for c in ("o_custkey", "o_orderkey"))
+    css = F.concat(F.lit("@font-face { src: a"), a, F.lit("; src: a"), b, F.lit("; }"))
+    found = detect.analyze(o.select(F.col("o_orderkey").alias("sheet_id"), css.alias("css"))).where("kind = 'redundant'")
+    return found.select("sheet_id", "scope", "key", (F.size("occurrences") + 1).alias("n"))

@@ -5,7 +5,8 @@ from sheetloom.functions.properties import one_name, overlap, overlap_pairs
 from sheetloom.functions.selectors import exclusive, ignored, likely_apart, list_key, parsed, spaced_comma, split_list, unescape, DEFAULT_IGNORED
 from sheetloom.functions.tree import CssError, parse
 from sheetloom.functions.values import declaration_key, one_value, same_decimals, same_units, split_top
-from sheetloom.plans.cases import LISTS, PAIRS, VALUES
+
+from .cases import LISTS, PAIRS, VALUES
 
 
 @pytest.mark.parametrize("prop, value, default, aggressive", VALUES)
