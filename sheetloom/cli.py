@@ -9,7 +9,9 @@ import re
 import sys
 from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Row, SparkSession
+from pyspark.sql import functions as F
 
 from .functions.values import declaration_key
 from .operators.consolidate import dedup
@@ -17,7 +19,7 @@ from .operators.detect import analyze
 from .operators.report import MODES, report
 from .plans import prose
 from .plans.options import Options
-from .sources.sheets import STDIN, expand_targets, portable, read_files
+from .sources.sheets import STDIN, expand_targets, portable, read_files, replace_file
 
 CONFIG = "sheetloom.config.json"
 HEADER = ["Findings -f (-a)", "Savings with: -f", "-f -s", "-f -a", "-f -a -s"]
@@ -137,6 +139,29 @@ def _cells(row: Row | dict) -> list[str]:
     return [f"{row['n_default']} ({row['n_aggressive']})", *(prose.savings_cell(row[m]["saved"], row[m]["before"], row[m]["unavailable"]) for m in MODES)]
 
 
+def _best(row: Row | dict) -> set[int]:
+    """The cells of the ways that save most, of those that do anything; none if the best grows."""
+    able = {k: row[m]["saved"] for k, m in enumerate(MODES, 1) if not row[m]["unavailable"]}
+    best = max(able.values(), default=-1)
+    return {k for k, saved in able.items() if saved == best >= 0}
+
+
+def _table(header: list[str], rows: list[list[str]], of: list[Row | dict], wrap: int | None = None) -> list[str]:
+    """The best ways are marked where a terminal can show it."""
+    shift = len(header) - len(HEADER)
+    return prose.table(header, rows, wrap=wrap, bold=[{k + shift for k in _best(r)} for r in of] if sys.stdout.isatty() else None)
+
+
+def _excerpt(css: str, message: str) -> list[str]:
+    """The line that a message speaks of, with a mark under its column."""
+    place = re.search(r"\(line (\d+), column (\d+)\)$", message)
+    lines = css.split("\n")
+    if not place or int(place[1]) > len(lines):
+        return []
+    number, column = place[1], int(place[2])
+    return [f"  {number} | {lines[int(number) - 1].rstrip()[:200]}", f"  {' ' * len(number)} | {' ' * (column - 1)}^"]
+
+
 def _by_sheet(rows: list[Row]) -> dict[int, list[Row]]:
     found: dict[int, list[Row]] = {}
     for r in rows:
@@ -162,7 +187,6 @@ def run_report(sheets, options: Options, names: dict[int, str], quiet: bool, err
         if len(names) > 1 and not quiet:
             lines.append(name)
         if k in errors:
-            lines.append(errors[k])
             continue
         row = rows[k]
         stats.append((name, row))
@@ -172,7 +196,7 @@ def run_report(sheets, options: Options, names: dict[int, str], quiet: bool, err
         if not quiet:
             lines += _finding_lines(found.get(k, []))
             lines += _skipped_lines(skipped.get(k, []), {(s.scope, s.key) for s in harder.get(k, [])})
-        lines += [f"Summary for {name}:", *prose.table(HEADER, [_cells(row)]), LEGEND]
+        lines += [f"Summary for {name}:", *_table(HEADER, [_cells(row)], [row]), LEGEND]
         failed |= row["n_default"] > 0
     if len(names) > 1:
         lines += ["", f"Summary for all files:{_errored(len(names) - len(stats))}"]
@@ -182,7 +206,8 @@ def run_report(sheets, options: Options, names: dict[int, str], quiet: bool, err
             for m in MODES:
                 total[m] = {"before": sum(r["default"]["before"] for _, r in stats), "saved": sum(r[m]["saved"] for _, r in stats), "unavailable": all(r[m]["unavailable"] for _, r in stats)}
             table.append(["Total", *_cells(total)])
-        lines += [*prose.table(["File", *HEADER], table, wrap=0), LEGEND]
+        of = [row for _, row in stats] + ([total] if stats else [])
+        lines += [*_table(["File", *HEADER], table, of, wrap=0), LEGEND]
     return failed, lines
 
 
@@ -192,25 +217,29 @@ def _errored(n: int) -> str:
 
 def run_fix(sheets, options: Options, names: dict[int, str], quiet: bool, errors: dict[int, str]) -> tuple[bool, list[str], str | None]:
     """(was anything skipped or withheld, lines, the sheet itself if it came from STDIN)."""
-    rows = {r.sheet_id: r for r in dedup(sheets, options).collect()}
-    others = {r.sheet_id: r for r in dedup(sheets, replace(options, aggressive=not options.aggressive)).collect()}
+    # texts stay with the executors; the driver gets their hashes, and one text at a time to write
+    done = dedup(sheets, options).persist(StorageLevel.DISK_ONLY)
+    slim = lambda d: {r.sheet_id: r for r in d.withColumn("css_out", F.xxhash64("css_out")).collect()}
+    rows, others = slim(done), slim(dedup(sheets, replace(options, aggressive=not options.aggressive)))
+    piped = [k for k, name in names.items() if name == "(stdin)"]
+    texts = done.where(F.col("sheet_id").isin(piped) | (F.size("applied") > 0)).select("sheet_id", "css_out")
     lines, failed, output, stats = [], False, None, []
+    for r in texts.toLocalIterator():
+        if r.sheet_id in piped:
+            output = r.css_out
+        else:
+            replace_file(names[r.sheet_id], r.css_out)
+    done.unpersist()
     for k, name in names.items():
         if len(names) > 1 and lines:
             lines.append("")
         if len(names) > 1 and not quiet:
             lines.append(name)
-        if k in errors or rows[k].error:
-            lines.append(errors.get(k) or rows[k].error)
+        if k in errors:
             continue
         r, other = rows[k], others[k]
         n, stdin = len(r.applied), name == "(stdin)"
         preview = None if options.aggressive else other
-        if stdin:
-            output = r.css_out
-        elif n:
-            with open(name, "w", encoding="utf-8", newline="") as f:
-                f.write(r.css_out)
         if not quiet:
             lines += _skipped_lines(r.skipped, {(s.scope, s.key) for s in preview.skipped} if preview else None)
         lines.append(f"Summary for {name}:" if len(names) > 1 else "Summary:")
@@ -219,6 +248,7 @@ def run_fix(sheets, options: Options, names: dict[int, str], quiet: bool, errors
         else:
             lines.append(f"* {n} declaration{prose.plural(n)} consolidated" + (f": {prose.reduced(r.bytes.before, r.bytes.after)}" if n else ""))
         if n:
+            # These sentences are part of the output that scripts match.
             if r.bytes.saved < 0:
                 lines.append("* Worth it for maintainability (each declaration used once); skip `--fix` here if you care more about transfer size.")
             if options.aggressive and r.css_out != other.css_out:
@@ -293,7 +323,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, stdin
     names = {k: "(stdin)" if p == STDIN else portable(p) for k, p in enumerate(targets.files)}
     errors = {r.sheet_id: f"Could not read {names[r.sheet_id]}: {r.error}" for r in sheets.where("error IS NOT NULL").select("sheet_id", "error").collect()}
     good = sheets.where("error IS NULL")
+    unread = dict(errors)
     errors |= {r.sheet_id: f"{names[r.sheet_id]}: {r.error}" for r in dedup(good, replace(options, savings_only=False), with_css=False).where("error IS NOT NULL").select("sheet_id", "error").collect()}
+    broken = good.where(good.sheet_id.isin([k for k in errors if k not in unread])).select("sheet_id", "css")
+    excerpts = {r.sheet_id: _excerpt(r.css, errors[r.sheet_id]) for r in broken.toLocalIterator()} if errors.keys() - unread.keys() else {}
+    for k in sorted(errors):
+        print("\n".join([errors[k], *excerpts.get(k, [])]), file=sys.stderr)
     good = good.where(~good.sheet_id.isin(list(errors))) if errors else good
     if args.fix:
         failed, lines, output = run_fix(good, options, names, args.quiet, errors)

@@ -42,10 +42,12 @@ def plus_signs(value: Column) -> Column:
 
 
 def decimals(value: Column) -> Column:
-    """0.50 and .50 as .5; 1.0 as 1; 0.0 as 0."""
-    short = F.regexp_replace(value, r"(\.\d*?)0+(?!\d)", "$1")
-    bare = F.regexp_replace(short, r"(?<=\d)\.(?!\d)", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"(?<!\d)\.(?!\d)", "0"), r"(?<!\d)0+(?=\.\d)", "")
+    """0.50 and .50 as .5; 1.0 as 1; 0.0 as 0. Points of decimals are marked while zeros go."""
+    point = "\u0001"
+    marked = F.regexp_replace(value, r"\.(?=\d)(\d*?)0*(?!\d)", point + "$1")
+    short = F.regexp_replace(marked, rf"(?<!\d)0?{point}(?=\d)", ".")
+    short = F.regexp_replace(F.regexp_replace(short, rf"{point}(?=\d)", "."), rf"(?<=\d){point}", "")
+    return F.regexp_replace(short, point, "0")
 
 
 def zero_lengths(value: Column) -> Column:
@@ -74,10 +76,16 @@ def hex_color(value: Column) -> Column:
 
 
 def milliseconds(value: Column) -> Column:
-    """A value that is one time, as exact milliseconds."""
-    number = F.regexp_extract(value, r"(?i)^(-?(?:\d+(?:\.\d+)?|\.\d+))s$", 1)
-    exact = (F.when(number != "", number).cast("decimal(30,12)") * F.lit(1000)).cast("decimal(34,9)").cast("string")
-    return F.when(number != "", F.concat(decimals(F.regexp_replace(exact, r"^-(?=0\.0*$)", "")), F.lit("ms"))).otherwise(value)
+    """A value that is one time, as exact milliseconds: the decimal point moves by three digits."""
+    parts = r"(?i)^([+-]?)(\d*)(?:\.(\d+))?s$"
+    fraction = F.rpad(F.regexp_extract(value, parts, 3), F.greatest(F.lit(3), F.length(F.regexp_extract(value, parts, 3))), F.lit("0"))
+    digits = F.concat(F.regexp_extract(value, parts, 2), F.substring(fraction, 1, 3))
+    whole = F.regexp_replace(digits, r"^0+(?=\d)", "")
+    rest = F.regexp_replace(F.substring(fraction, 4, 1 << 30), "0+$", "")
+    number = F.when(rest == "", whole).otherwise(F.concat(F.regexp_replace(whole, "^0$", ""), F.lit("."), rest))
+    sign = F.regexp_extract(value, parts, 1)
+    sign = F.when((whole == "0") & (rest == "") & (sign == "-"), "").otherwise(sign)
+    return F.when(value.rlike(r"(?i)^[+-]?(\d+(\.\d+)?|\.\d+)s$"), F.concat(sign, number, F.lit("ms"))).otherwise(value)
 
 
 def eligible(selectors: Column, patterns: tuple[str, ...]) -> Column:

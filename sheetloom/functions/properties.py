@@ -6,18 +6,46 @@ from functools import lru_cache
 
 # Shorthands and the longhands that they set. Physical and logical sides are apart:
 # which physical side a logical one is depends on the writing mode.
-_SIDES = ("top", "right", "bottom", "left")
-_LOGICAL = ("block", "block-start", "block-end", "inline", "inline-start", "inline-end")
-_PARTS = ("width", "style", "color")
 SHORTHANDS: dict[str, tuple[str, ...]] = {
-    **{p: (*(f"{p}-{s}" for s in _SIDES), *(f"{p}-{s}" for s in _LOGICAL)) for p in ("margin", "padding")},
-    "inset": (*_SIDES, *(f"inset-{s}" for s in _LOGICAL)),
-    **{f"{p}-{axis}": (f"{p}-{axis}-start", f"{p}-{axis}-end") for p in ("margin", "padding", "inset") for axis in ("block", "inline")},
-    "border": (*(f"border-{s}" for s in _SIDES), *(f"border-{p}" for p in _PARTS), *(f"border-{s}-{p}" for s in _SIDES for p in _PARTS)),
-    **{f"border-{s}": tuple(f"border-{s}-{p}" for p in _PARTS) for s in _SIDES},
-    **{f"border-{p}": tuple(f"border-{s}-{p}" for s in _SIDES) for p in _PARTS},
-    "border-radius": ("border-top-left-radius", "border-top-right-radius", "border-bottom-right-radius", "border-bottom-left-radius"),
-    "border-image": ("border-image-source", "border-image-slice", "border-image-width", "border-image-outset", "border-image-repeat"),
+    "margin": (
+        "margin-top", "margin-right", "margin-bottom", "margin-left", "margin-block", "margin-block-start",
+        "margin-block-end", "margin-inline", "margin-inline-start", "margin-inline-end",
+    ),
+    "padding": (
+        "padding-top", "padding-right", "padding-bottom", "padding-left", "padding-block", "padding-block-start",
+        "padding-block-end", "padding-inline", "padding-inline-start", "padding-inline-end",
+    ),
+    "inset": (
+        "top", "right", "bottom", "left", "inset-block", "inset-block-start", "inset-block-end", "inset-inline",
+        "inset-inline-start", "inset-inline-end",
+    ),
+    "margin-block": ("margin-block-start", "margin-block-end"),
+    "margin-inline": ("margin-inline-start", "margin-inline-end"),
+    "padding-block": ("padding-block-start", "padding-block-end"),
+    "padding-inline": ("padding-inline-start", "padding-inline-end"),
+    "inset-block": ("inset-block-start", "inset-block-end"),
+    "inset-inline": ("inset-inline-start", "inset-inline-end"),
+    "border": (
+        "border-top", "border-right", "border-bottom", "border-left", "border-width", "border-style", "border-color",
+        "border-top-width", "border-top-style", "border-top-color", "border-right-width", "border-right-style",
+        "border-right-color", "border-bottom-width", "border-bottom-style", "border-bottom-color",
+        "border-left-width", "border-left-style", "border-left-color",
+    ),
+    "border-top": ("border-top-width", "border-top-style", "border-top-color"),
+    "border-right": ("border-right-width", "border-right-style", "border-right-color"),
+    "border-bottom": ("border-bottom-width", "border-bottom-style", "border-bottom-color"),
+    "border-left": ("border-left-width", "border-left-style", "border-left-color"),
+    "border-width": ("border-top-width", "border-right-width", "border-bottom-width", "border-left-width"),
+    "border-style": ("border-top-style", "border-right-style", "border-bottom-style", "border-left-style"),
+    "border-color": ("border-top-color", "border-right-color", "border-bottom-color", "border-left-color"),
+    "border-radius": (
+        "border-top-left-radius", "border-top-right-radius", "border-bottom-right-radius",
+        "border-bottom-left-radius",
+    ),
+    "border-image": (
+        "border-image-source", "border-image-slice", "border-image-width", "border-image-outset",
+        "border-image-repeat",
+    ),
     "outline": ("outline-width", "outline-style", "outline-color"),
     "background": (
         "background-image", "background-position", "background-size", "background-repeat", "background-origin",
@@ -38,17 +66,30 @@ SHORTHANDS: dict[str, tuple[str, ...]] = {
         "animation-name", "animation-duration", "animation-timing-function", "animation-delay",
         "animation-iteration-count", "animation-direction", "animation-fill-mode", "animation-play-state",
     ),
-    "text-decoration": ("text-decoration-line", "text-decoration-style", "text-decoration-color", "text-decoration-thickness"),
+    "text-decoration": (
+        "text-decoration-line", "text-decoration-style", "text-decoration-color", "text-decoration-thickness",
+    ),
     "grid-template": ("grid-template-rows", "grid-template-columns", "grid-template-areas"),
     "grid-area": ("grid-row", "grid-column", "grid-row-start", "grid-row-end", "grid-column-start", "grid-column-end"),
     "grid-row": ("grid-row-start", "grid-row-end"),
     "grid-column": ("grid-column-start", "grid-column-end"),
     # beyond the reference's own list: more shorthands whose omission would make a merge unsafe
-    "border-block": tuple(f"border-block-{x}" for x in ("start", "end", *_PARTS)),
-    "border-inline": tuple(f"border-inline-{x}" for x in ("start", "end", *_PARTS)),
+    "border-block": (
+        "border-block-start", "border-block-end", "border-block-width", "border-block-style", "border-block-color",
+    ),
+    "border-inline": (
+        "border-inline-start", "border-inline-end", "border-inline-width", "border-inline-style",
+        "border-inline-color",
+    ),
     "columns": ("column-width", "column-count"),
-    "grid": ("grid-template", "grid-template-rows", "grid-template-columns", "grid-template-areas", "grid-auto-rows", "grid-auto-columns", "grid-auto-flow"),
-    "mask": ("mask-image", "mask-position", "mask-size", "mask-repeat", "mask-origin", "mask-clip", "mask-composite", "mask-mode"),
+    "grid": (
+        "grid-template", "grid-template-rows", "grid-template-columns", "grid-template-areas", "grid-auto-rows",
+        "grid-auto-columns", "grid-auto-flow",
+    ),
+    "mask": (
+        "mask-image", "mask-position", "mask-size", "mask-repeat", "mask-origin", "mask-clip", "mask-composite",
+        "mask-mode",
+    ),
 }
 # Older names that browsers take for the newer ones.
 ALIASES = {"word-wrap": "overflow-wrap", "grid-gap": "gap", "grid-row-gap": "row-gap", "grid-column-gap": "column-gap"}

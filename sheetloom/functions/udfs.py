@@ -1,10 +1,10 @@
-"""Arrow functions for what needs grammar. Each remembers what it was asked, since a corpus asks
-for few distinct declarations and selectors very often."""
+"""Arrow functions for what needs grammar. A worker remembers what each was asked, over all batches
+of a task, since a corpus asks for few distinct declarations and selectors very often."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -20,10 +20,11 @@ def _over(kind: str, f: Callable) -> Callable[..., Column]:
     """A pandas UDF that calls f once for each distinct row of its arguments; null gives null."""
 
     @F.pandas_udf(kind)
-    def run(args: pd.DataFrame) -> pd.Series:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         remembered = lru_cache(1 << 16)(f)
-        rows = zip(*(args[c].tolist() for c in args.columns), strict=True)
-        return pd.Series([None if any(x is None for x in row) else remembered(*row) for row in rows], dtype=object)
+        for args in batches:
+            rows = zip(*(args[c].tolist() for c in args.columns), strict=True)
+            yield pd.Series([None if any(x is None for x in row) else remembered(*row) for row in rows], dtype=object)
 
     return lambda *columns: run(F.struct(*(c.alias(f"a{k}") for k, c in enumerate(columns))))
 

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.udfs import key_of
 from ..plans.options import Options
 from .consolidate import dedup
-from .detect import findings
-from .tables import nodes
+from .detect import analyze
 
 MODES = ("default", "default_gated", "aggressive", "aggressive_gated")
 
@@ -73,13 +72,20 @@ def may_merge(skipped: DataFrame, aggressive_skipped: DataFrame) -> DataFrame:
     return skipped.join(still, ["sheet_id", "scope", "key"], "left").withColumn("may_merge", F.col("still").isNull()).drop("still")
 
 
+def preview(sheets: DataFrame, options: Options = Options()) -> DataFrame:
+    """What the aggressive run adds to the default one: sheet_id, extra, extra_saved, differs."""
+    one = lambda aggressive, name: dedup(sheets, replace(options, aggressive=aggressive)).where("error IS NULL").select("sheet_id", F.size("applied").alias(f"n_{name}"), F.col("bytes.saved").alias(f"saved_{name}"), F.xxhash64("css_out").alias(f"css_{name}"))
+    both = one(False, "default").join(one(True, "aggressive"), "sheet_id")
+    return both.select("sheet_id", (F.col("n_aggressive") - F.col("n_default")).alias("extra"), (F.col("saved_aggressive") - F.col("saved_default")).alias("extra_saved"), (F.col("css_aggressive") != F.col("css_default")).alias("differs"))
+
+
 def report(sheets: DataFrame, options: Options = Options()) -> DataFrame:
     """One row per sheet: findings by mode and (before, saved, unavailable) of the four ways. Sheets
     without findings are not consolidated."""
     both = {"default": replace(options, aggressive=False, savings_only=False), "aggressive": replace(options, aggressive=True, savings_only=False)}
     counts, runs = None, None
     for mode, o in both.items():
-        n = findings(nodes(sheets, o), o).groupBy("sheet_id").agg(F.count(F.lit(1)).alias(f"n_{mode}"))
+        n = analyze(sheets, o).groupBy("sheet_id").agg(F.count(F.lit(1)).alias(f"n_{mode}"))
         counts = n if counts is None else counts.join(n, "sheet_id", "full_outer")
     dirty = sheets.join(counts.select("sheet_id"), "sheet_id", "left_semi")
     for mode, o in both.items():

@@ -16,6 +16,11 @@ that touches the property is a blocker, and only those of the same scope are kno
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +29,7 @@ from ..functions.udfs import all_apart
 from ..plans.options import Options
 from .detect import cross_rule
 from .rewrite import OUTSIDE_CASCADE
+from .tables import arrow_schema
 
 SCOPE = ["sheet_id", "scope_key"]
 
@@ -143,37 +149,81 @@ def runs(decls: DataFrame, overlaps: DataFrame, options: Options = Options()) ->
     return numbered.groupBy(*SCOPE, "decl_key", "run_no").agg(F.count(F.lit(1)).alias("n_rules"), F.min("rule_pos").alias("first_pos"), F.max("rule_pos").alias("last_pos"))
 
 
-def clusters(decls: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """(scope, decl_key, cluster): groups that shared rules tie together, named by their least key.
-
-    Labels spread over rules to their groups until none changes; after each round a group takes
-    the label of its label's group too, so chains halve. Rounds are cut by checkpoint().
-    """
-    spark = decls.sparkSession
-    if checkpoint and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sheetloom")
-    ties = members(decls).select(*SCOPE, "decl_key", "rule_id").repartition(*SCOPE)
-    ties = ties.checkpoint() if checkpoint else ties.cache()
-    label = ties.select(*SCOPE, "decl_key").distinct().withColumn("cluster", F.col("decl_key"))
+def _by_scope(ties: DataFrame, find: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """find over whole scopes, many at a time: rows are dealt out and sorted by scope once, and a
+    task holds back the scope that its batch may have cut. A scope is a part of one sheet, so the
+    largest sheet bounds what is held."""
+
+    kinds = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            rows = batch.to_pandas()
+            if not len(rows):
+                continue
+            same = (rows[SCOPE] == rows[SCOPE].iloc[-1]).all(axis=1).to_numpy()
+            whole, rest = rows[~same], rows[same]
+            if len(whole) or held and not (held[-1][SCOPE].iloc[-1] == rest[SCOPE].iloc[0]).all():
+                yield pa.RecordBatch.from_pandas(find(pd.concat([*held, whole])), kinds, preserve_index=False)
+                held = []
+            held.append(rest)
+        if held:
+            yield pa.RecordBatch.from_pandas(find(pd.concat(held)), kinds, preserve_index=False)
+
+    return ties.repartition(*SCOPE).sortWithinPartitions(*SCOPE).mapInArrow(run, schema)
+
+
+def _labelled(ties: pd.DataFrame) -> pd.DataFrame:
+    """ties (scope, decl_key, rule_id) with group and cluster: numbers in the order of scopes and
+    keys; a cluster has the number of its least group. Labels go over rules to their groups and back
+    until none changes; each takes the label of its label too, so that chains halve."""
+    group = ties.groupby([*SCOPE, "decl_key"], sort=True).ngroup().to_numpy()
+    rule = ties.groupby([*SCOPE, "rule_id"], sort=False).ngroup().to_numpy()
+    label = np.arange(group.max(initial=-1) + 1)
     while True:
-        held = ties.join(label, [*SCOPE, "decl_key"])
-        of_rule = held.groupBy(*SCOPE, "rule_id").agg(F.min("cluster").alias("cluster"))
-        near = ties.join(of_rule, [*SCOPE, "rule_id"]).groupBy(*SCOPE, "decl_key").agg(F.min("cluster").alias("cluster"))
-        jump = near.select(*SCOPE, F.col("decl_key").alias("cluster"), F.col("cluster").alias("next"))
-        new = near.join(jump, [*SCOPE, "cluster"]).select(*SCOPE, "decl_key", F.col("next").alias("cluster"))
-        new = new.checkpoint() if checkpoint else new.cache()
-        moved = new.join(label.withColumnRenamed("cluster", "old"), [*SCOPE, "decl_key"]).where("cluster <> old")
-        if moved.isEmpty():
-            return new
+        least = np.full(rule.max(initial=-1) + 1, len(label))
+        np.minimum.at(least, rule, label[group])
+        new = label.copy()
+        np.minimum.at(new, group, least[rule])
+        new = new[new]
+        if (new == label).all():
+            return ties.assign(group=group, cluster=label[group])
         label = new
 
 
-def hubs(decls: DataFrame, clusters_: DataFrame) -> DataFrame:
+def _ties(decls: DataFrame) -> DataFrame:
+    return members(decls).select("sheet_id", "scope_key", "decl_key", "rule_id")
+
+
+_SCOPE_SCHEMA = "sheet_id long, scope_key string"
+
+
+def clusters(decls: DataFrame) -> DataFrame:
+    """(scope, decl_key, cluster): groups that shared rules tie together, named by their least key.
+    Clusters never leave a scope, so one exchange is all."""
+
+    def find(ties: pd.DataFrame) -> pd.DataFrame:
+        groups = _labelled(ties).drop_duplicates("group")
+        name = groups.set_index("group")["decl_key"]
+        return groups[[*SCOPE, "decl_key"]].assign(cluster=name.loc[groups["cluster"]].to_numpy())
+
+    return _by_scope(_ties(decls), find, f"{_SCOPE_SCHEMA}, decl_key string, cluster string")
+
+
+def hubs(decls: DataFrame) -> DataFrame:
     """How each cluster of several groups is tied: (scope, cluster, n_groups, n_hubs, is_star): a
     star has one rule in all groups and every other rule in one."""
-    tied = members(decls).join(clusters_, [*SCOPE, "decl_key"])
-    size = clusters_.groupBy(*SCOPE, "cluster").agg(F.count(F.lit(1)).alias("n_groups")).where("n_groups > 1")
-    held = tied.groupBy(*SCOPE, "cluster", "rule_id").agg(F.countDistinct("decl_key").alias("n_keys")).join(size, [*SCOPE, "cluster"])
-    full = F.col("n_keys") == F.col("n_groups")
-    g = held.groupBy(*SCOPE, "cluster", "n_groups").agg(F.count_if(full).alias("n_hubs"), F.bool_and(full | (F.col("n_keys") == 1)).alias("split"))
-    return g.select(*SCOPE, "cluster", "n_groups", "n_hubs", ((F.col("n_hubs") == 1) & F.col("split")).alias("is_star"))
+
+    def find(ties: pd.DataFrame) -> pd.DataFrame:
+        rows = _labelled(ties)
+        name = rows.drop_duplicates("group").set_index("group")["decl_key"]
+        size = rows.groupby("cluster")["group"].nunique()
+        held = rows.groupby(["cluster", "rule_id"])["group"].nunique().reset_index(name="n")
+        full = held["n"] == held["cluster"].map(size)
+        told = pd.DataFrame({"cluster": held["cluster"], "full": full, "one": full | (held["n"] == 1)}).groupby("cluster").agg(n_hubs=("full", "sum"), split=("one", "all"))
+        told = told.assign(n_groups=size)[size > 1].reset_index()
+        scope = rows.drop_duplicates("cluster").set_index("cluster")[SCOPE].loc[told["cluster"]].reset_index(drop=True)
+        return scope.assign(cluster=name.loc[told["cluster"]].to_numpy(), n_groups=told["n_groups"], n_hubs=told["n_hubs"], is_star=(told["n_hubs"] == 1) & told["split"])
+
+    return _by_scope(_ties(decls), find, f"{_SCOPE_SCHEMA}, cluster string, n_groups long, n_hubs long, is_star boolean")

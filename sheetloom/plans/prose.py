@@ -92,8 +92,8 @@ def short_labels(paths: list[str]) -> list[str]:
             depth[k] += 1
 
 
-def table(header: list[str], rows: list[list[str]], wrap: int | None = None, width: int = 80, gutter: str = "  ") -> list[str]:
-    """Aligned lines. The cells of column ``wrap`` are cut after a slash where the table would be
+def table(header: list[str], rows: list[list[str]], wrap: int | None = None, width: int = 80, gutter: str = "  ", bold: list[set[int]] | None = None) -> list[str]:
+    """Aligned lines; of each row, the cells in ``bold`` are printed so. The cells of column ``wrap`` are cut after a slash where the table would be
     wider than ``width``."""
     widths = [max(len(r[k]) for r in [header, *rows]) for k in range(len(header))]
     budget = None
@@ -106,13 +106,14 @@ def table(header: list[str], rows: list[list[str]], wrap: int | None = None, wid
         least = max([len(header[wrap]), *(len(tail(r[wrap])) for r in rows)])
         widths[wrap] = max(least, min(widths[wrap], budget))
 
-    def line(cells: list[str]) -> str:
-        return gutter.join([c.ljust(w) for c, w in zip(cells, widths, strict=True)]).rstrip()
+    def line(cells: list[str], strong: set[int] = frozenset()) -> str:
+        padded = [c + " " * (w - len(c)) if k < len(cells) - 1 else c for k, (c, w) in enumerate(zip(cells, widths, strict=True))]
+        return gutter.join(f"\x1b[1m{c}\x1b[22m" if k in strong else c for k, c in enumerate(padded)).rstrip()
 
     lines = [line(header)]
-    for row in rows:
+    for n, row in enumerate(rows):
         if wrap is not None and len(row[wrap]) > widths[wrap] and (cut := row[wrap].rfind("/", 0, budget + 1)) > 0:
             lines.append(row[wrap][: cut + 1])
             row = [*row[:wrap], row[wrap][cut + 1 :], *row[wrap + 1 :]]
-        lines.append(line(row))
+        lines.append(line(row, bold[n] if bold else frozenset()))
     return lines

@@ -205,8 +205,7 @@ def cluster_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) FILTER (n_keys = n_groups) = 1 AND bool_and(n_keys = n_groups OR n_keys = 1) AS is_star
   FROM size s JOIN held h USING (sheet_id, scope_key, cluster) GROUP BY ALL""")
 def star_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = declaration_view(spark, sf_dir)
-    return safety.hubs(d, safety.clusters(d))
+    return safety.hubs(declaration_view(spark, sf_dir))
 
 
 @query("WITH " + _OVER_SQL + ", props(a) AS (SELECT DISTINCT p FROM over) SELECT x.a AS a, y.a AS b, EXISTS (SELECT 1 FROM over WHERE p = x.a AND q = y.a) AS touches FROM props x, props y")
@@ -272,11 +271,13 @@ def may_merge_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.may_merge(keyed(lines, 20), keyed(lines.where("l_linestatus = 'F'"), 17))
 
 
-@query(f"""WITH {_RUNS_SQL} SELECT d.sheet_id, a.n_applied - d.n_applied AS extra, a.saved - d.saved AS extra_saved FROM runs d JOIN runs a USING (sheet_id) WHERE d.mode = 'default' AND a.mode = 'aggressive'""")
+@query("WITH o AS (SELECT o_orderkey AS sheet_id, o_orderkey % 4 = o_custkey % 4 AS same FROM orders) SELECT sheet_id, CASE WHEN same THEN 1 ELSE 0 END AS extra, CAST(CASE WHEN same THEN 14 ELSE 0 END AS BIGINT) AS extra_saved, same AS differs FROM o")
 def aggressive_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the aggressive run adds: a 1:1 join of two runs, as one pass over both."""
-    by = lambda c, m: F.max(F.when(F.col("mode") == m, F.col(c)))
-    return _runs(spark, sf_dir).groupBy("sheet_id").agg(*((by(c, "aggressive") - by(c, "default")).alias(n) for c, n in (("n_applied", "extra"), ("saved", "extra_saved"))))
+    """Sheets of two angles, in gradians and degrees: only the aggressive run tells equal ones."""
+    o = _table(spark, sf_dir, "orders")
+    grad, deg = ((k * (1 + F.col(c) % 4)).cast("string") for k, c in ((10, "o_orderkey"), (9, "o_custkey")))
+    css = F.concat(F.lit(".a{rotate:"), grad, F.lit("grad}.b{rotate:"), deg, F.lit("deg}"))
+    return report.preview(o.select(F.col("o_orderkey").alias("sheet_id"), css.alias("css")))
 
 
 # -- scalar functions that columns can say

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -105,14 +106,25 @@ def read_folder(spark: SparkSession, folder: str, ignored: tuple[str, ...] = ())
 
 
 def read_files(spark: SparkSession, paths: list[str], stdin: str | None = None) -> DataFrame:
-    """Named files in the given order. What cannot be read is an error of its row."""
-    rows = []
-    for k, path in enumerate(paths):
-        try:
-            rows.append((k, path, stdin if path == STDIN and stdin is not None else sys.stdin.read() if path == STDIN else open(path, encoding="utf-8", newline="").read(), None))
-        except (OSError, UnicodeDecodeError) as e:
-            rows.append((k, path, None, str(e)))
-    return spark.createDataFrame(rows, SHEETS)
+    """Named files in the given order, read by tasks (on a cluster the paths must be shared); STDIN
+    is read here. What cannot be read is an error of its row."""
+    given = (sys.stdin.read() if stdin is None else stdin) if STDIN in paths else None
+    rows = [(k, p, given if p == STDIN else None, None) for k, p in enumerate(paths)]
+    named = spark.createDataFrame(rows, SHEETS).repartitionByRange(max(1, min(len(paths), spark.sparkContext.defaultParallelism)), "sheet_id")
+    folder = os.getcwd()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["path"] != STDIN:
+                    try:
+                        with open(os.path.join(folder, row["path"]), encoding="utf-8", newline="") as f:
+                            row["css"] = f.read()
+                    except (OSError, UnicodeDecodeError) as e:
+                        row["error"] = str(e)
+                yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
+
+    return named.mapInArrow(read, SHEETS)
 
 
 def from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
@@ -134,14 +146,21 @@ def write_sheets(results: DataFrame, folder: str) -> None:
     results.select("path", "css_out").write.parquet(folder)
 
 
+def replace_file(path: str, text: str) -> None:
+    """Replace a local file whole: whoever reads it sees the old text or the new one."""
+    temporary = f"{path}.new"
+    with open(temporary, "w", encoding="utf-8", newline="") as out:
+        out.write(text)
+    if os.path.exists(path):
+        shutil.copymode(path, temporary)
+    os.replace(temporary, path)
+
+
 def rewrite_in_place(results: DataFrame) -> int:
     """Overwrite local files whose consolidation applied something. Opt-in, from the driver only,
-    one row at a time; each file is replaced whole."""
+    one row at a time."""
     written = 0
     for row in results.where("size(applied) > 0").select("path", "css_out").toLocalIterator():
-        temporary = f"{row['path']}.new"
-        with open(temporary, "w", encoding="utf-8", newline="") as out:
-            out.write(row["css_out"])
-        os.replace(temporary, row["path"])
+        replace_file(row["path"], row["css_out"])
         written += 1
     return written

@@ -53,8 +53,9 @@ def test_errors(run, tmp_path):
     (tmp_path / "bad.css").write_text("a {")
     (tmp_path / "ok.css").write_text(DIRTY)
     (tmp_path / "x.scss").write_text("")
-    status, out, _ = run("-z", ".")
-    assert status == 1 and "Unclosed block" in out and "(1 file could not be processed; see errors above)" in out
+    status, out, err = run("-z", ".")
+    assert status == 1 and "Unclosed block" in err and "(1 file could not be processed; see errors above)" in out
+    assert "1 | " in err and "^" in err and "Unclosed block" not in out
     assert run("x.scss")[0] == 1 and run("none.css")[0] == 1
     assert "excluded" in run("-p", "css", ".")[2]
     assert run("-fix", "ok.css")[2].startswith("Unknown option `-fix`. Did you mean `--fix`?")

@@ -1,8 +1,10 @@
 import duckdb
 import glob
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sheetloom.operators.consolidate import changes, dedup
 from sheetloom.operators.detect import analyze
@@ -158,3 +160,16 @@ def test_options():
     assert len(Options().ignored) == 3 and Options(ignore_selectors=("x",), ignore_selectors_defaults=False).ignored == ("x",)
     with pytest.raises(ValueError):
         Options(fence="no")
+
+
+def test_columns_spell_numbers_as_python_does(spark):
+    from sheetloom.functions import expressions as E
+    from sheetloom.functions.values import same_decimals, same_units
+
+    rng = random.Random(1)
+    wholes, parts = ["", "0", "00", "7", "05", "1234567890123456789012"], ["", ".", ".0", ".5", ".50", ".1234567890123456", ".00000", ".001", "." + "9" * 30]
+    made = sorted({rng.choice(["", "-", "+"]) + rng.choice(wholes) + rng.choice(parts) + rng.choice(["s", "px", "%", " 1.0", ""]) for _ in range(2000)})
+    for r in spark.createDataFrame([(t,) for t in made], "t string").select("t", E.milliseconds(F.col("t")).alias("ms"), E.decimals(F.col("t")).alias("d")).collect():
+        assert r.d == same_decimals(r.t)
+        if r.t.endswith("s"):
+            assert r.ms == same_decimals(same_units(r.t, False))
