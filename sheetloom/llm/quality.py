@@ -6,8 +6,9 @@ by the logistic loss on feature differences. The cut between the labels is the q
 training scores that the share of label 0 gives; a logistic curve through it (CUT at the cut, its
 slope fitted on the training labels) turns worth into a score from 0 to 1.
 
-Fitting uses a bounded sample: at most SAMPLE labelled documents outside the held-out fold, picked
-by a hash of their ids, and PAIRS pairs of them. Scoring runs over every document.
+Fitting uses a bounded sample: at most SAMPLE labels outside the held-out fold, picked by a hash of
+their ids, at most as many documents that have them (where ids repeat, picked by a hash of id and
+text), and PAIRS pairs of them. Scoring runs over every document.
 
 Defined cases: null text is empty and gets a score like any other; labels that are null, or whose
 document is missing, are not used; with labels of one kind only, every score is that kind's; without
@@ -145,11 +146,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(iter(texts_of(batch.column("text"))))
-            yield pa.record_batch([batch.column("_label"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["_label", "x"])
+            yield pa.record_batch([batch.column("_label"), batch.column("_order"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["_label", "_order", "x"])
 
-    # the picked labels are at most ``sample`` rows of two numbers, so they can be broadcast
-    found = id_and_text(docs).join(F.broadcast(picked), "doc_id").mapInArrow(compute, "_label int, x array<double>")
-    rows = found.limit(2 * sample).toArrow()
+    # the picked labels are at most ``sample`` rows of two numbers, so they can be broadcast; where ids
+    # repeat, they can have more documents, of which the first ones by hash are learned from
+    held = id_and_text(docs).join(F.broadcast(picked), "doc_id").withColumn("_order", F.xxhash64("doc_id", "text"))
+    found = held.mapInArrow(compute, "_label int, _order long, x array<double>")
+    rows = found.orderBy("_order", "_label").limit(sample).select("_label", "x").toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, 3 * N_BASE)
     order = np.lexsort(x.T)  # the same fit in whatever order rows come
     return fit(x[order], rows.column("_label").to_numpy()[order])

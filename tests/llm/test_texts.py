@@ -333,3 +333,26 @@ def test_fixity_bears_odd_keys(spark):
     second = X.leaves(X.archive(df.where("NOT (page_id = 5 AND html = 'v7') AND page_id <> 9007199254740994").union(df.where("page_id = 6").limit(1))))
     status = sorted((r.page_id, r.status) for r in X.audit(first, second).where("status <> 'ok'").collect())
     assert status == [(5, "missing")] * 3 + [(6, "extra"), ((1 << 53) + 2, "missing")]
+
+
+def test_fit_is_the_least_logistic_loss_of_pairs():
+    """The weights against plain gradient descent on the same pairs, and the cut against its quantile."""
+    rng = np.random.default_rng(6)
+    d = rng.normal(size=(4000, 3)) + [0.8, -0.3, 0.1]
+    plain = np.zeros(3)
+    for _ in range(4000):
+        plain += 0.5 * ((1 / (1 + np.exp(d @ plain)))[:, None] * d).mean(0) - 0.5 * Q.RIDGE * plain
+    assert Q._newton(d, np.ones(len(d)), Q.RIDGE) == pytest.approx(plain, abs=1e-3)
+    x = rng.normal(size=(500, 3 * Q.N_BASE))
+    label = (x[:, 0] + 0.3 * rng.normal(size=500) > 0.4).astype(int)
+    model = Q.fit(x, label, pairs=5000)
+    worth = model.worth(x)
+    assert model.cut == pytest.approx(np.quantile(worth, (label == 0).mean(), method="midpoint"))
+    assert (worth[label == 1][:, None] > worth[label == 0][None, :]).mean() > 0.9
+
+
+def test_repeated_ids_are_learned_from_in_one_order(spark):
+    docs = [(k % 7, prose(20 + k, k)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(7)] * 3, "doc_id long, quality int, toxic int")
+    models = [Q.train(documents(spark, docs).repartition(n), labels, sample=5) for n in (1, 5)]
+    assert models[0].weights == pytest.approx(models[1].weights) and models[0].cut == pytest.approx(models[1].cut)
