@@ -4,7 +4,9 @@ A rolling hash over 16 bytes cuts texts where its content says so, so documents
 passage share its chunks. A chunk's *interior*, from its first to its last certain pre-token cut,
 has the same ids wherever the chunk stands; a worker encodes it once and looks it up afterwards.
 What lies between two interiors holds the chunk join; it is encoded again as one string, over as
-many chunks as it takes until certain cuts bound it on both sides, which makes the whole exact.
+many chunks as it takes until certain cuts bound it on both sides. Then it is checked: the join and
+the pieces next to it in both interiors, encoded together as one string, must have the same ids as
+apart. Where they do not agree, the whole text is encoded anew.
 
 A cut is certain before a single space that stands between visible characters (the space starts
 the next pre-token whatever follows, and no earlier one can hold it), and between a letter or digit
@@ -121,13 +123,13 @@ class ChunkIds:
                     spans.append((at, e, None))
                 at = e
         self._learn(whole, cuts, new)
-        joins = [whole[a:b] for a, b, key in spans if key is None]
-        join_ids, join_counts = self.pieces.encode(joins)
-        upto = np.concatenate([[0], np.cumsum(join_counts)]).tolist()
+        joins, wrong = self._joins(whole, starts, cuts, [(a, b) for a, b, key in spans if key is None])
+        if wrong:
+            spans, joins = self._whole(whole, starts, spans, joins, wrong)
         parts, counts, j = [], np.empty(len(spans), np.int64), 0
         for k, (_, _, key) in enumerate(spans):
             if key is None:
-                part = join_ids[upto[j] : upto[j + 1]]
+                part = joins[j]
                 j += 1
             else:
                 part = self.known[key]
@@ -141,6 +143,44 @@ class ChunkIds:
             self.known, self.n_bytes = {}, 0
         return ids, per_text
 
+    def _joins(self, whole: bytes, starts: np.ndarray, cuts: np.ndarray, spans: list[tuple[int, int]]) -> tuple[list[np.ndarray], set[int]]:
+        """Ids of every join, and the texts in which some join does not agree with its neighbours."""
+        if not spans:
+            return [], set()
+        a, b = np.array(spans, np.int64).T
+        # the pieces next to a join are in its text: interiors have a cut at each end
+        first, last = np.isin(a, starts), np.isin(b, starts)
+        left = np.where(first, a, cuts[np.maximum(np.searchsorted(cuts, a) - 1, 0)]) if len(cuts) else a
+        right = np.where(last, b, cuts[np.minimum(np.searchsorted(cuts, b) + 1, len(cuts) - 1)]) if len(cuts) else b
+        right = np.where(last, b, np.maximum(right, b))
+        apart = [whole[x:y] for row in zip(left.tolist(), a.tolist(), b.tolist(), right.tolist(), strict=True) for x, y in zip(row, row[1:], strict=False)]
+        ids, counts = self.pieces.encode(apart)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        check = np.flatnonzero((left < a) | (right > b))
+        together, sizes = self.pieces.encode_once([whole[x:y] for x, y in zip(left[check].tolist(), right[check].tolist(), strict=True)])
+        ends = np.cumsum(sizes).tolist()
+        wrong = set()
+        for k, x, y in zip(check.tolist(), [0, *ends], ends, strict=False):
+            if not np.array_equal(together[x:y], ids[upto[3 * k] : upto[3 * k + 3]]):
+                wrong.add(int(np.searchsorted(starts, a[k], "right")) - 1)
+        return [ids[upto[k] : upto[k + 1]] for k in range(1, len(apart), 3)], wrong
+
+    def _whole(self, whole: bytes, starts: np.ndarray, spans: list[tuple[int, int, bytes | None]], joins: list[np.ndarray], wrong: set[int]) -> tuple[list[tuple[int, int, bytes | None]], list[np.ndarray]]:
+        """spans and joins with one span for each text of ``wrong``, encoded anew."""
+        new_spans, new_joins, given, done = [], [], iter(joins), set()
+        for a, b, key in spans:
+            ids = next(given) if key is None else None
+            text = int(np.searchsorted(starts, a, "right")) - 1
+            if text not in wrong:
+                new_spans.append((a, b, key))
+                new_joins += [ids] if key is None else []
+            elif text not in done:
+                done.add(text)
+                lo, hi = int(starts[text]), int(starts[text + 1])
+                new_spans.append((lo, hi, None))
+                new_joins.append(self.pieces.encode_once([whole[lo:hi]])[0])
+        return new_spans, new_joins
+
     def _learn(self, whole: bytes, cuts: np.ndarray, new: dict[bytes, tuple[int, int]]) -> None:
         """Encode new interiors, piece by piece between certain cuts."""
         if not new:

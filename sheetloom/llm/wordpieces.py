@@ -93,6 +93,11 @@ class PieceIds:
         self.n_pool += len(ids)
         self.known.update(zip(pieces, range(k, k + n), strict=True))
 
+    def encode_once(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the library alone, for strings that are not worth remembering."""
+        ids, counts = self._library(strings)
+        return ids, np.array(counts, np.int64)
+
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces one after another, and how many each has."""
         new = set(pieces).difference(self.known)

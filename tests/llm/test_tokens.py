@@ -146,3 +146,25 @@ def test_histogram_packing_is_whole_and_tight(spark):
     # one length that most pieces have, and ties
     df = spark.range(5000).selectExpr("id AS doc_id", "0L AS start", "IF(id % 3 = 0, 7L, 1000L) AS length", "0L AS ids_crc32")
     check_packed(pack(df).collect())
+
+
+def test_joins_that_do_not_agree_are_encoded_anew(monkeypatch):
+    """Cuts inside words, two a chunk: interiors alone would be wrong at both ends, the check sees it."""
+    from tokenizers import Tokenizer
+
+    from sheetloom.llm import chunk_bpe as C
+
+    path = vocabulary(BYTE_TOKENIZER)
+    held = C.texts_of(pa.array([prose(3000, 3), "short", "", prose(900, 4)]))
+    ends = C.chunk_ends(held)
+    wrong = [int(x) for b, e in zip([0, *ends], ends, strict=False) if e - b > 60 for x in (b + 17, e - 19) if held.data[x - 1] > 0x60 and held.data[x] > 0x60]
+    assert len(wrong) > 4
+    monkeypatch.setattr(C, "certain_cuts", lambda data: np.array(wrong))
+    encoder = C.ChunkIds(path)
+    anew, plain = [], encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda *a: anew.append(len(a[-1])) or plain(*a))
+    ids, counts = encoder.encode(held)
+    library = Tokenizer.from_file(path)
+    library.no_truncation(), library.no_padding()
+    assert ids.tolist() == [k for t in held for k in library.encode(t.decode(), add_special_tokens=False).ids] and len(counts) == 4
+    assert anew
