@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Bytes that Spark puts in one Arrow batch, unless the session says otherwise.
 BATCH_BYTES = 8 << 20
 _SPARKS_BATCH_BYTES = "67108864b"
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -41,10 +42,16 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: later steps start from files that
-    outlive executors, and nothing before them is computed twice."""
+    outlive executors, and nothing before them is computed twice. The shuffle files of the
+    writing go when it ends."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_SHUFFLES_GO, None)
+    spark.conf.set(_SHUFFLES_GO, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_SHUFFLES_GO) if before is None else spark.conf.set(_SHUFFLES_GO, before)
     found = spark.read.schema(df.schema).parquet(path)
     found._work_path = path
     return found

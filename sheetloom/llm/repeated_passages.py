@@ -1,29 +1,27 @@
 """Removal of repeated passages by distributed prefix doubling (operator 4).
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller
-doc_id. Ranking every position of the corpus by prefixes of 1, 2, 4 ... LENGTH bytes would sort
-sixteen bytes a position several times over. Three things keep the method and drop that cost:
-
-* Ranks are names: a hash of the prefix, made from the two names of its halves (in closed form, as
-  a prefix sum), so that equal prefixes have equal names on every machine. "Sort and rerank" is
-  then a sort of the names by range, which finds names that other documents have too.
-* The first rank, of GRAM bytes, is sorted only for *anchors*: of every LENGTH-byte window, the
-  GRAM-byte prefix in it with the least hash. Windows that are equal have the same anchor at the
-  same place, so a window whose anchor no other document has is unique: it is dropped, with no
-  other position sorted. About 2 in LENGTH - GRAM positions are anchors.
-* Consecutive windows with the same anchor are a *phrase*. The next rank names the whole phrase
-  (LENGTH bytes and more): a phrase that a smaller document has too goes in one piece. Only where
-  phrases with equal anchors differ, at the edges of repeated passages, does the last round rank
-  single windows of LENGTH bytes. For that a shard sends such a phrase's bytes to its anchor's
-  bucket; of an anchor with over HOT_PHRASES different phrases it sends the names of the windows,
-  which spread over all buckets.
-
-Rounds are messages between *shards* (groups of documents, dealt out once; Spark reuses that
-exchange in every round) and *buckets* (ranges of names). A message packs all names that a shard
-has in a bucket, each once, so a passage that a third of all documents hold is one entry a shard.
-Answers are bits: whether a shard's first holder of a name is the first of all. Every stage is
-deterministic, so a lost executor's tasks run again with the same outcome. Names that decide have
-128 bits (first and second rank together, or both hashes of a window).
+doc_id. Rows of (rank, rank behind it, position) are sorted by Spark for growing lengths; only
+positions whose rank other documents share go on to the next length, until LENGTH is reached:
+
+1. GRAM bytes, for *anchors* alone: of every LENGTH-byte window, the GRAM-byte prefix in it with the
+   least hash. Windows that are equal have the same anchor at the same place, so a window whose
+   anchor no other document has is unique. About 2 in LENGTH - GRAM positions are anchors.
+2. *Phrases*, the runs of windows with one anchor, by the pair of the anchor's rank and the rank of
+   the whole run (LENGTH bytes and more). A phrase that a smaller document has too goes in one
+   piece; a first one is done if its anchor has no other phrase.
+3. Single windows of LENGTH bytes, of the first holders of phrases that are left: the edges of
+   repeated passages.
+
+A rank is a name: a hash of the prefix in closed form, as a prefix sum, so that equal prefixes have
+equal names on every machine, whatever the length, and no position has to ask for the rank at its
+offset. Names that decide have 128 bits (first and second rank together, or both hashes of a window).
+
+Each round deals its rows out by rank, sorts them, and tells the least document of every rank in a
+window; windows of very many rows spill. What it finds is written per document, as ordinals of the
+document's own ranks, to the shared folder, and joined with the texts for the next round: a lost
+executor's tasks run again from there. A round's shuffle files go when it has been written, so that
+rounds do not add up on disk.
 
 Defined cases: null text is empty; texts under LENGTH bytes are kept whole; matches within a
 document or between rows of equal doc_id do not count; a null doc_id is smaller than any other;
@@ -34,25 +32,23 @@ unchanged in ``without_repeats`` and are ignored in ``repeat_digests``.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, bound_batches, partitions, texts_of
+from .common import Texts, bound_batches, discard, materialize, texts_of
 
 LENGTH, GRAM = 50, 20
-#: Bytes of text in a shard and names in a bucket, about; and bytes looked at together.
-SHARD_BYTES, BUCKET_NAMES, PORTION = 8 << 20, 1 << 19, 1 << 18
-HOT_PHRASES = 4096
-MESSAGE = "at long, sender long, kind int, body binary"
-#: Kinds of messages: anchors, phrases, bytes of phrases, names of windows.
-ANCHORS, PHRASES, BYTES, WINDOWS = range(4)
-KEPT = 4  # a shard's mail so far, in one message to itself
+#: Bytes looked at together.
+PORTION = 1 << 18
+#: What tells a row of documents: its doc_id (null: the least number) and a hash of its text.
+OWNER = ["_doc", "_key"]
+RANKS = "rank long, next long, _doc long, _key long, n int"
 _ONE = (1 << 64) - 1
 
 
@@ -187,38 +183,6 @@ def phrases(texts: Texts) -> Phrases:
     return Phrases(*(np.concatenate([getattr(p, f) for p in found]) for f in Phrases.__dataclass_fields__))
 
 
-def _dump(*arrays: np.ndarray) -> bytes:
-    return pickle.dumps(arrays, 5)
-
-
-def _load(body: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(body)
-
-
-def _gaps(names: np.ndarray) -> np.ndarray:
-    """Ascending names as differences, in four bytes where they fit."""
-    d = np.diff(names, prepend=np.uint64(0))
-    return d.astype(np.uint32) if len(d) and d[1:].max(initial=0) < 1 << 32 and d[0] < 1 << 32 else d
-
-
-def _names(gaps: np.ndarray) -> np.ndarray:
-    return np.cumsum(gaps.astype(np.uint64))
-
-
-def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    at, sender, kind, body = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.table([pa.array(at, pa.int64()), pa.array(sender, pa.int64()), pa.array(kind, pa.int32()), pa.array(body, pa.binary())], names=["at", "sender", "kind", "body"])
-
-
-def _cut(names: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of the ranges of ascending names that hold any."""
-    if not len(names):
-        return []
-    bucket = ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return list(zip(bucket[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(names)], strict=True))
-
-
 def _first_of_each(order_by: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in ascending order: index of a holder in the least document, that document,
     and each row's key number."""
@@ -239,256 +203,146 @@ def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-#: Names are compared by their upper 48 bits in the first round.
-_COARSE = np.uint64(16)
-
-
-def _ids(shard: pa.Table) -> np.ndarray:
-    return shard.column("doc_id").fill_null(-(1 << 63)).to_numpy()
-
-
-class Shard:
-    """A shard's phrases that other documents may share, the distinct ones in order, and the
-    answers so far."""
-
-    def __init__(self, shard: pa.Table, mail: pa.Table) -> None:
-        self.texts = texts_of(shard.column("text"))
-        self.ids = _ids(shard)
-        self.mail: dict[int, dict[int, bytes]] = {k: {} for k in range(4)}
-        for sender, kind, body in _opened(mail):
-            self.mail[kind][sender] = body
-        parts = [_names(*_load(body)) for body in self.mail[ANCHORS].values()]
-        shared = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
-        found = phrases(self.texts)
-        coarse = found.anchor >> _COARSE
-        at = np.searchsorted(shared, coarse)
-        hit = at < len(shared)
-        hit[hit] = shared[at[hit]] == coarse[hit]
-        self.phrases = found[hit]
-        self.doc = self.ids[self.phrases.text]
-        self.holder, self.least, self.number = _first_of_each([self.phrases.anchor, self.phrases.name], self.doc)
-
-    def answers(self, kind: int, n: int) -> list[np.ndarray]:
-        """The buckets' answers about n names, in the order in which they were asked."""
-        parts = [_load(self.mail[kind][k]) for k in sorted(self.mail[kind])]
-        whole = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, bool)] * 3
-        if any(len(x) != n for x in whole[:1]):
-            raise ValueError("a bucket's answer does not fit what was asked")
-        return whole
-
-    def sort_out(self) -> None:
-        """From the second round: which phrases came before, and which need their windows ranked
-        (by their bytes, or by names where the anchor is hot)."""
-        self.first, several, hot = self.answers(PHRASES, len(self.holder))
-        self.by_bytes, self.by_names = self.first & several & ~hot, self.first & several & hot
-        self.in_least = self.doc == self.least[self.number]
-
-    def held(self) -> Phrases:
-        """The phrases sent as bytes, one holder each."""
-        return self.phrases[self.holder[self.by_bytes]]
-
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and documents of the windows that are sent as names."""
-        which = self.by_names[self.number] & self.in_least
-        p = self.phrases[which]
-        return _runs(p.start, p.count), np.repeat(self.doc[which], p.count)
-
-    def covered(self) -> np.ndarray:
-        """Which bytes of the shard's texts go."""
-        self.sort_out()
-        depth = np.zeros(len(self.texts.data) + 1, np.int64)
-        p = self.phrases[~self.first[self.number] | ~self.in_least]
-        np.add.at(depth, p.start, 1)
-        np.add.at(depth, p.start + p.count - 1 + LENGTH, -1)
-        gone = []
-        if self.by_bytes.any():
-            counts = self.held().count
-            (first,) = self.answers(BYTES, int(counts.sum()))[:1]
-            begin = np.zeros(len(self.holder), np.int64)
-            begin[self.by_bytes] = np.cumsum(counts) - counts
-            which = self.by_bytes[self.number] & self.in_least
-            p = self.phrases[which]
-            at = _runs(p.start, p.count)
-            gone.append(at[~first[_runs(begin[self.number[which]], p.count)]])
-        if self.by_names.any():
-            at, doc = self.windows()
-            _, least, number = _first_of_each(list(window_names(self.texts.data, at)), doc)
-            (first,) = self.answers(WINDOWS, len(least))[:1]
-            gone.append(at[~first[number] | (doc > least[number])])
-        for at in gone:
-            np.add.at(depth, at, 1)
-            np.add.at(depth, at + LENGTH, -1)
-        return np.cumsum(depth[:-1]) > 0
-
-
 def window_names(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return FIRST.windows(data, at, LENGTH), SECOND.windows(data, at, LENGTH)
 
 
-def _windows_of(data: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all windows of phrases that lie one after another in data."""
-    sizes = counts + LENGTH - 1
-    upto = np.concatenate([[0], np.cumsum(sizes)])
-    parts = []
-    i = 0
-    while i < len(counts):
-        j = max(i + 1, int(np.searchsorted(upto, upto[i] + PORTION, "right")) - 1)
-        part = data[upto[i] : upto[j]]
-        at = _runs(upto[i:j] - upto[i], counts[i:j])
-        sums = [(r, r.sums(part)) for r in (FIRST, SECOND)]
-        parts.append([mix((x[at + LENGTH] - x[at]) * r.inverse[at]) for r, x in sums])
-        i = j
-    one, two = zip(*parts, strict=True) if parts else ([np.empty(0, np.uint64)],) * 2
-    return np.concatenate(one), np.concatenate(two)
-
-
-def _ask_anchors(buckets: int) -> Callable[[pa.Table], pa.Table]:
-    def ask(shard: pa.Table) -> pa.Table:
-        found = phrases(texts_of(shard.column("text")))
-        coarse, doc = found.anchor >> _COARSE, _ids(shard)[found.text]
-        holder, least, number = _first_of_each([coarse], doc)
-        several = np.zeros(len(holder), bool)
-        several[number[doc > least[number]]] = True
-        names, me = coarse[holder], shard.column("shard")[0].as_py()
-        return _messages([(b, me, ANCHORS, _dump(_gaps(names[i:j]), np.packbits(several[i:j]))) for b, i, j in _cut(names << _COARSE, buckets)])
-
-    return ask
-
-
-def _tell_anchors(mail: pa.Table) -> pa.Table:
-    """For each shard, which of its anchors other documents have too."""
-    senders, parts, several = [], [], []
-    bucket = mail.column("at")[0].as_py()
-    for row in mail.to_pylist():
-        gaps, bits = _load(row["body"])
-        senders.append(row["sender"])
-        parts.append(_names(gaps))
-        several.append(np.unpackbits(bits, count=len(gaps)).astype(bool))
-    names = np.concatenate(parts)
-    order = np.argsort(names)
-    same = names[order][1:] == names[order][:-1]
-    shared = np.zeros(len(names), bool)
-    shared[order[1:][same]] = True
-    shared[order[:-1][same]] = True
-    shared |= np.concatenate(several)
-    rows, a = [], 0
-    for sender, part in zip(senders, parts, strict=True):
-        if len(own := part[shared[a : a + len(part)]]):
-            rows.append((sender, bucket, ANCHORS, _dump(_gaps(own))))
-        a += len(part)
-    return _messages(rows)
-
-
-def _ask_phrases(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def ask(shard: pa.Table, mail: pa.Table) -> pa.Table:
-        if not shard.num_rows:
-            return _messages([])
-        me, own = shard.column("shard")[0].as_py(), Shard(shard, mail)
-        anchor, name = own.phrases.anchor[own.holder], own.phrases.name[own.holder]
-        rows = [(b, me, PHRASES, _dump(anchor[i:j], name[i:j], own.least[i:j])) for b, i, j in _cut(anchor, buckets)]
-        return _messages(rows + _kept(me, mail))
-
-    return ask
-
-
-def _ask_windows(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def ask(shard: pa.Table, mail: pa.Table) -> pa.Table:
-        if not shard.num_rows:
-            return _messages([])
-        me, own = shard.column("shard")[0].as_py(), Shard(shard, mail)
-        own.sort_out()
-        rows, p, least = _kept(me, mail), own.held(), own.least[own.by_bytes]
-        for b, i, j in _cut(p.anchor, buckets):
-            held = own.texts.data[_runs(p.start[i:j], p.count[i:j] + LENGTH - 1)]
-            rows.append((b, me, BYTES, _dump(held, p.count[i:j].astype(np.int32), least[i:j])))
-        if own.by_names.any():
-            at, doc = own.windows()
-            one, two = window_names(own.texts.data, at)
-            holder, least, _ = _first_of_each([one, two], doc)
-            rows += [(b, me, WINDOWS, _dump(one[holder][i:j], two[holder][i:j], least[i:j])) for b, i, j in _cut(one[holder], buckets)]
-        return _messages(rows)
-
-    return ask
-
-
-def _opened(mail: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-    """(sender, kind, body) of a shard's mail, what it kept included."""
-    for row in mail.to_pylist():
-        if row["kind"] == KEPT:
-            yield from _load(row["body"])
-        else:
-            yield row["sender"], row["kind"], row["body"]
-
-
-def _kept(me: int, mail: pa.Table) -> list[tuple[int, int, int, bytes]]:
-    """A shard's mail as one message to itself, for the next round."""
-    return [(-1 - me, me, KEPT, pickle.dumps(list(_opened(mail)), 5))]
-
-
-def _rank_phrases(asked: list[dict]) -> Iterator[bytes]:
-    """For each name a shard asked about: is its least document the least of all, does its anchor
-    have other phrases, does it have very many?"""
-    parts = [_load(r["body"]) for r in asked]
-    anchor, name, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    holder, least, number = _first_of_each([anchor, name], doc)
-    _, kinds, n = np.unique(anchor[holder], return_inverse=True, return_counts=True)
-    first, several, hot = doc == least[number], (n > 1)[kinds][number], (n > HOT_PHRASES)[kinds][number]
-    ends = np.cumsum([len(p[0]) for p in parts]).tolist()
-    for a, b in zip([0, *ends], ends, strict=False):
-        yield _dump(first[a:b], several[a:b], hot[a:b])
-
-
-def _rank_windows(asked: list[dict]) -> Iterator[bytes]:
-    """For each window a shard asked about: is its least document the least of all?"""
-    names, docs = [], []
-    for row in asked:
-        one, two, doc = _load(row["body"])
-        if row["kind"] == BYTES:
-            counts = two.astype(np.int64)
-            one, two = _windows_of(one, counts)
-            doc = np.repeat(doc, counts)
-        names.append((one, two))
-        docs.append(doc)
-    _, least, number = _first_of_each([np.concatenate(x) for x in zip(*names, strict=True)], np.concatenate(docs))
-    first = np.concatenate(docs) == least[number]
-    ends = np.cumsum([len(d) for d in docs]).tolist()
-    for a, b in zip([0, *ends], ends, strict=False):
-        yield _dump(first[a:b])
-
-
-def _tell(mail: pa.Table) -> pa.Table:
-    """Answers of a bucket; kept messages go back to their shard."""
-    held = mail.to_pylist()
-    rows = [(-1 - r["at"], r["sender"], r["kind"], r["body"]) for r in held if r["at"] < 0]
-    for kind, rank in ((PHRASES, _rank_phrases), (BYTES, _rank_windows), (WINDOWS, _rank_windows)):
-        if asked := [r for r in held if r["at"] >= 0 and r["kind"] == kind]:
-            rows += [(r["sender"], r["at"], kind, body) for r, body in zip(asked, rank(asked), strict=True)]
-    return _messages(rows)
+@dataclass
+class Found:
+    """The phrases of some texts and the distinct anchors and phrases of each text, in order: a text's
+    k-th has the number begin[text] + k."""
+
+    texts: Texts
+
+    def __post_init__(self) -> None:
+        self.phrases = phrases(self.texts)
+        self.anchors = self._distinct(self.phrases.anchor)
+        self.whole = self._distinct(self.phrases.anchor, self.phrases.name)
+
+    def _distinct(self, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a holder of each distinct key, each phrase's number, begin)"""
+        text = self.phrases.text
+        holder, _, number = _first_of_each([text, *keys], np.zeros(len(text), np.int64))
+        return holder, number, np.searchsorted(text[holder], np.arange(len(self.texts) + 1))
+
+    def windows(self, open_: np.ndarray) -> tuple[Phrases, np.ndarray]:
+        """One holder of each of the phrases with these ascending numbers; the windows of a text's are
+        numbered in this order, from begin[phrase]."""
+        held = self.phrases[self.whole[0][open_]]
+        before = np.cumsum(held.count) - held.count
+        first = np.searchsorted(held.text, held.text)
+        return held, before - before[first] if len(held.text) else before
+
+
+def _numbers(lists: pa.Array, begin: np.ndarray) -> np.ndarray:
+    """The numbers that lists of ordinals mean, ascending; a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.sort(np.repeat(begin[:-1], sizes) + lists.flatten().to_numpy(zero_copy_only=False))
+
+
+def _rows(batch: pa.RecordBatch, text: np.ndarray, rank: np.ndarray, second: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """RANKS of positions in a batch's texts."""
+    owner = [batch.column(c).to_numpy(zero_copy_only=False)[text] for c in OWNER]
+    return pa.record_batch([pa.array(x) for x in (rank.view(np.int64), second.view(np.int64), *owner, n.astype(np.int32))], names=["rank", "next", *OWNER, "n"])
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = Found(texts_of(batch.column("text")))
+        holder, _, begin = found.anchors
+        p = found.phrases[holder]
+        yield _rows(batch, p.text, p.anchor, np.zeros(len(holder), np.uint64), np.arange(len(holder)) - begin[p.text]).drop_columns(["next"])
+
+
+def _phrase_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = Found(texts_of(batch.column("text")))
+        shared = np.zeros(len(found.anchors[0]), bool)
+        shared[_numbers(batch.column("shared"), found.anchors[2])] = True
+        holder, _, begin = found.whole
+        which = np.flatnonzero(shared[found.anchors[1][holder]])
+        p = found.phrases[holder[which]]
+        yield _rows(batch, p.text, p.anchor, p.name, which - begin[p.text])
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = Found(texts_of(batch.column("text")))
+        held, begin = found.windows(_numbers(batch.column("open"), found.whole[2]))
+        ends = np.cumsum(held.count)
+        i = 0
+        while i < len(ends):  # a portion of windows at a time
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + PORTION)))
+            p = held[np.arange(i, j)]
+            one, two = window_names(found.texts.data, _runs(p.start, p.count))
+            yield _rows(batch, np.repeat(p.text, p.count), one, two, _runs(begin[i:j], p.count))
+            i = j
+
+
+def _covered(texts: Texts, gone: pa.Array, open_: pa.Array, late: pa.Array) -> np.ndarray:
+    """Which bytes go: those of the phrases that are gone, and of the late windows of open ones."""
+    found = Found(texts)
+    p, (_, number, begin) = found.phrases, found.whole
+    depth = np.zeros(len(texts.data) + 1, np.int64)
+    which = np.zeros(len(found.whole[0]), bool)
+    which[_numbers(gone, begin)] = True
+    q = p[which[number]]
+    np.add.at(depth, q.start, 1)
+    np.add.at(depth, q.start + q.count - 1 + LENGTH, -1)
+    opened = _numbers(open_, begin)
+    if len(opened):
+        held, _ = found.windows(opened)
+        is_late = np.zeros(int(held.count.sum()), bool)
+        before = np.cumsum(held.count) - held.count
+        at = np.searchsorted(held.text, np.arange(len(texts) + 1))  # a text's first open phrase
+        is_late[_numbers(late, np.append(before, len(is_late))[at])] = True
+        slot = np.full(len(which), -1)
+        slot[opened] = before
+        q, s = (x[slot[number] >= 0] for x in (p, slot[number]))
+        at = _runs(q.start, q.count)[is_late[_runs(s, q.count)]]
+        np.add.at(depth, at, 1)
+        np.add.at(depth, at + LENGTH, -1)
+    return np.cumsum(depth[:-1]) > 0
+
+
+def _told(found: DataFrame, **lists: str) -> DataFrame:
+    """For each row of documents, the ordinals that conditions hold for, as lists."""
+    kept = found.where(" OR ".join(f"({c})" for c in lists.values()))
+    return kept.groupBy(*OWNER).agg(*(F.collect_set(F.when(F.expr(c), F.col("n"))).alias(name) for name, c in lists.items()))
 
 
 def _removal(docs: DataFrame, finish: Callable[[pa.Table, Texts, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """docs (doc_id, text, ...) in shards; finish gets a shard, its texts and which bytes go."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = max(partitions(spark), -(-n_bytes // SHARD_BYTES))
-    n_buckets = max(8, -(-2 * n_bytes // ((LENGTH - GRAM + 2) * BUCKET_NAMES)))
-    shards = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)))
-
-    def end(shard: pa.Table, mail: pa.Table) -> pa.Table:
-        own = Shard(shard, mail) if shard.num_rows else None
-        return finish(shard, own.texts if own else texts_of(pa.array([], pa.string())), own.covered() if own else np.empty(0, bool))
-
-    def bucketed(mail: DataFrame, tell: Callable[[pa.Table], pa.Table]) -> DataFrame:
-        return mail.groupBy("at").applyInArrow(tell, MESSAGE)
-
-    def to_shards(mail: DataFrame, do: Callable[[pa.Table, pa.Table], pa.Table], out: str) -> DataFrame:
-        return shards.groupBy("shard").cogroup(mail.withColumnRenamed("at", "shard").groupBy("shard")).applyInArrow(do, out)
-
-    anchors = bucketed(shards.groupBy("shard").applyInArrow(_ask_anchors(n_buckets), MESSAGE), _tell_anchors)
-    known = bucketed(to_shards(anchors, _ask_phrases(n_buckets), MESSAGE), _tell)
-    windows = bucketed(to_shards(known, _ask_windows(n_buckets), MESSAGE), _tell)
-    return to_shards(windows, end, schema)
+    """docs (doc_id, text, ...); finish gets some of them, their texts and which bytes go."""
+    bound_batches(docs.sparkSession)
+    whole = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_key", F.xxhash64("text"))
+    texts = whole.where(F.octet_length("text") >= LENGTH).select(*OWNER, "text")
+    by_rank, by_pair = Window.partitionBy("rank"), Window.partitionBy("rank", "next")
+    first, last = F.min("_doc"), F.max("_doc")
+
+    rows = texts.mapInArrow(_anchor_rows, "rank long, _doc long, _key long, n int")
+    ranked = rows.withColumn("first", first.over(by_rank)).withColumn("last", last.over(by_rank))
+    anchors = materialize(_told(ranked, shared="first < last"), "anchors")
+
+    rows = texts.join(anchors, OWNER).mapInArrow(_phrase_rows, RANKS)
+    ranked = rows.withColumn("least", F.min("next").over(by_rank)).withColumn("most", F.max("next").over(by_rank)).withColumn("first", first.over(by_pair))
+    known = materialize(_told(ranked, gone="first < _doc", open="first = _doc AND least < most"), "phrases")
+    discard(anchors)
+
+    rows = texts.join(known.where("size(open) > 0").select(*OWNER, "open"), OWNER).mapInArrow(_window_rows, RANKS)
+    windows = materialize(_told(rows.withColumn("first", first.over(by_pair)), late="first < _doc"), "windows")
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, answers = texts_of(batch.column("text")), [batch.column(c) for c in ("gone", "open", "late")]
+            asked = pc.is_valid(answers[0])
+            part = texts_of(batch.column("text").filter(asked))
+            gone = np.zeros(len(held.data), bool)
+            if len(part):
+                at, sizes = held.starts[:-1][asked.to_numpy(zero_copy_only=False)], np.diff(part.starts)
+                gone[_runs(at, sizes)] = _covered(part, *(a.filter(asked) for a in answers))
+            yield from finish(pa.Table.from_batches([batch]), held, gone).to_batches()
+
+    return whole.join(known, OWNER, "left").join(windows, OWNER, "left").mapInArrow(end, schema)
 
 
 def _spans(gone: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -526,7 +380,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes taken out of text; a character that is cut in two goes whole.
     Every row and every other column stays."""
     names = docs.columns
-    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*names).alias("_row"))
+    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*(n for n in names if n != "text")).alias("_row"))
 
     def finish(shard: pa.Table, texts: Texts, gone: np.ndarray) -> pa.Table:
         at = zip(texts.starts[:-1].tolist(), texts.starts[1:].tolist(), strict=True)
