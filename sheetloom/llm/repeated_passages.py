@@ -18,8 +18,8 @@ equal names on every machine, whatever the length, and no position has to ask fo
 offset. Names that decide have 128 bits (first and second rank together, or both hashes of a window).
 
 Each round deals its rows out by rank, sorts them, and tells the least document of every rank in a
-window; windows of very many rows spill. What it finds is written per document, as ordinals of the
-document's own ranks, to the shared folder, and joined with the texts for the next round: a lost
+window; windows of very many rows spill. What it finds is written per document, as ordinals of its
+positions, to the shared folder, and joined with the texts for the next round: a lost
 executor's tasks run again from there. A round's shuffle files go when it has been written, so that
 rounds do not add up on disk.
 
@@ -183,21 +183,6 @@ def phrases(texts: Texts) -> Phrases:
     return Phrases(*(np.concatenate([getattr(p, f) for p in found]) for f in Phrases.__dataclass_fields__))
 
 
-def _first_of_each(order_by: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in ascending order: index of a holder in the least document, that document,
-    and each row's key number."""
-    order = np.lexsort([doc, *order_by[::-1]])
-    new = np.zeros(len(order), bool)
-    for key in order_by:
-        k = key[order]
-        new[1:] |= k[1:] != k[:-1]
-    new[:1] = True
-    edges = np.flatnonzero(new)
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return order[edges], doc[order[edges]], number
-
-
 def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[k], start[k] + 1, ... start[k] + count[k] - 1 for every k."""
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
@@ -207,35 +192,24 @@ def window_names(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return FIRST.windows(data, at, LENGTH), SECOND.windows(data, at, LENGTH)
 
 
-@dataclass
 class Found:
-    """The phrases of some texts and the distinct anchors and phrases of each text, in order: a text's
-    k-th has the number begin[text] + k."""
+    """The phrases of some texts; a text's are numbered in their order, from begin[text]."""
 
-    texts: Texts
+    def __init__(self, texts: Texts) -> None:
+        self.texts, self.phrases = texts, phrases(texts)
+        self.begin = np.searchsorted(self.phrases.text, np.arange(len(texts) + 1))
 
-    def __post_init__(self) -> None:
-        self.phrases = phrases(self.texts)
-        self.anchors = self._distinct(self.phrases.anchor)
-        self.whole = self._distinct(self.phrases.anchor, self.phrases.name)
+    def numbers(self, lists: pa.Array) -> np.ndarray:
+        """The phrases that lists of ordinals mean, one list a text, ascending."""
+        return _numbers(lists, self.begin)
 
-    def _distinct(self, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a holder of each distinct key, each phrase's number, begin)"""
-        text = self.phrases.text
-        holder, _, number = _first_of_each([text, *keys], np.zeros(len(text), np.int64))
-        return holder, number, np.searchsorted(text[holder], np.arange(len(self.texts) + 1))
-
-    def windows(self, open_: np.ndarray) -> tuple[Phrases, np.ndarray]:
-        """One holder of each of the phrases with these ascending numbers; the windows of a text's are
-        numbered in this order, from begin[phrase]."""
-        held = self.phrases[self.whole[0][open_]]
-        before = np.cumsum(held.count) - held.count
-        first = np.searchsorted(held.text, held.text)
-        return held, before - before[first] if len(held.text) else before
+    def rows(self, batch: pa.RecordBatch, which: np.ndarray) -> pa.RecordBatch:
+        p = self.phrases[which]
+        return _rows(batch, p.text, p.anchor, p.name, which - self.begin[p.text])
 
 
 def _numbers(lists: pa.Array, begin: np.ndarray) -> np.ndarray:
-    """The numbers that lists of ordinals mean, ascending; a null list is empty."""
+    """begin[k] + n for every n of the k-th list, ascending; a null list is empty."""
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     return np.sort(np.repeat(begin[:-1], sizes) + lists.flatten().to_numpy(zero_copy_only=False))
 
@@ -249,59 +223,48 @@ def _rows(batch: pa.RecordBatch, text: np.ndarray, rank: np.ndarray, second: np.
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = Found(texts_of(batch.column("text")))
-        holder, _, begin = found.anchors
-        p = found.phrases[holder]
-        yield _rows(batch, p.text, p.anchor, np.zeros(len(holder), np.uint64), np.arange(len(holder)) - begin[p.text]).drop_columns(["next"])
+        yield found.rows(batch, np.arange(len(found.phrases.start))).drop_columns(["next"])
 
 
 def _phrase_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = Found(texts_of(batch.column("text")))
-        shared = np.zeros(len(found.anchors[0]), bool)
-        shared[_numbers(batch.column("shared"), found.anchors[2])] = True
-        holder, _, begin = found.whole
-        which = np.flatnonzero(shared[found.anchors[1][holder]])
-        p = found.phrases[holder[which]]
-        yield _rows(batch, p.text, p.anchor, p.name, which - begin[p.text])
+        yield found.rows(batch, found.numbers(batch.column("shared")))
+
+
+def _window_starts(text: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The first window of each of some phrases, if the windows of a text's are numbered in order."""
+    before = np.cumsum(count) - count
+    return before - before[np.searchsorted(text, text)]
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = Found(texts_of(batch.column("text")))
-        held, begin = found.windows(_numbers(batch.column("open"), found.whole[2]))
-        ends = np.cumsum(held.count)
+        p = found.phrases[found.numbers(batch.column("open"))]
+        n, ends = _window_starts(p.text, p.count), np.cumsum(p.count)
         i = 0
         while i < len(ends):  # a portion of windows at a time
             j = max(i + 1, int(np.searchsorted(ends, ends[i] + PORTION)))
-            p = held[np.arange(i, j)]
-            one, two = window_names(found.texts.data, _runs(p.start, p.count))
-            yield _rows(batch, np.repeat(p.text, p.count), one, two, _runs(begin[i:j], p.count))
+            q = p[np.arange(i, min(j, len(ends)))]
+            one, two = window_names(found.texts.data, _runs(q.start, q.count))
+            yield _rows(batch, np.repeat(q.text, q.count), one, two, _runs(n[i:j], q.count))
             i = j
 
 
 def _covered(texts: Texts, gone: pa.Array, open_: pa.Array, late: pa.Array) -> np.ndarray:
     """Which bytes go: those of the phrases that are gone, and of the late windows of open ones."""
     found = Found(texts)
-    p, (_, number, begin) = found.phrases, found.whole
     depth = np.zeros(len(texts.data) + 1, np.int64)
-    which = np.zeros(len(found.whole[0]), bool)
-    which[_numbers(gone, begin)] = True
-    q = p[which[number]]
-    np.add.at(depth, q.start, 1)
-    np.add.at(depth, q.start + q.count - 1 + LENGTH, -1)
-    opened = _numbers(open_, begin)
-    if len(opened):
-        held, _ = found.windows(opened)
-        is_late = np.zeros(int(held.count.sum()), bool)
-        before = np.cumsum(held.count) - held.count
-        at = np.searchsorted(held.text, np.arange(len(texts) + 1))  # a text's first open phrase
-        is_late[_numbers(late, np.append(before, len(is_late))[at])] = True
-        slot = np.full(len(which), -1)
-        slot[opened] = before
-        q, s = (x[slot[number] >= 0] for x in (p, slot[number]))
-        at = _runs(q.start, q.count)[is_late[_runs(s, q.count)]]
-        np.add.at(depth, at, 1)
-        np.add.at(depth, at + LENGTH, -1)
+    p = found.phrases[found.numbers(gone)]
+    np.add.at(depth, p.start, 1)
+    np.add.at(depth, p.start + p.count - 1 + LENGTH, -1)
+    p = found.phrases[found.numbers(open_)]
+    ends = np.concatenate([[0], np.cumsum(p.count)])
+    begin = ends[np.searchsorted(p.text, np.arange(len(texts) + 1))]  # a text's first open window
+    at = _runs(p.start, p.count)[_numbers(late, begin)]
+    np.add.at(depth, at, 1)
+    np.add.at(depth, at + LENGTH, -1)
     return np.cumsum(depth[:-1]) > 0
 
 
