@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, bound_batches, partitions, texts_of
+from .common import Texts, bound_batches, partitions, released, texts_of
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a shard and names in a bucket, about; and bytes looked at together.
@@ -296,7 +296,7 @@ class Shard:
     def covered(self) -> np.ndarray:
         """Which bytes of the shard's texts go."""
         self.sort_out()
-        depth = np.zeros(len(self.texts.data) + 1, np.int64)
+        depth = np.zeros(len(self.texts.data) + 1, np.int32)
         p = self.phrases[~self.first[self.number] | ~self.in_least]
         np.add.at(depth, p.start, 1)
         np.add.at(depth, p.start + p.count - 1 + LENGTH, -1)
@@ -318,7 +318,8 @@ class Shard:
         for at in gone:
             np.add.at(depth, at, 1)
             np.add.at(depth, at + LENGTH, -1)
-        return np.cumsum(depth[:-1]) > 0
+        np.cumsum(depth, out=depth)
+        return depth[:-1] > 0
 
 
 def window_names(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -479,13 +480,24 @@ def _removal(docs: DataFrame, finish: Callable[[pa.Table, Texts, np.ndarray], pa
         own = Shard(shard, mail) if shard.num_rows else None
         return finish(shard, own.texts if own else texts_of(pa.array([], pa.string())), own.covered() if own else np.empty(0, bool))
 
+    def alone(table: DataFrame, key: str, do: Callable[[pa.Table], pa.Table]) -> DataFrame:
+        def run(group: pa.Table) -> pa.Table:
+            with released():
+                return do(group)
+
+        return table.groupBy(key).applyInArrow(run, MESSAGE)
+
     def bucketed(mail: DataFrame, tell: Callable[[pa.Table], pa.Table]) -> DataFrame:
-        return mail.groupBy("at").applyInArrow(tell, MESSAGE)
+        return alone(mail, "at", tell)
 
     def to_shards(mail: DataFrame, do: Callable[[pa.Table, pa.Table], pa.Table], out: str) -> DataFrame:
-        return shards.groupBy("shard").cogroup(mail.withColumnRenamed("at", "shard").groupBy("shard")).applyInArrow(do, out)
+        def run(shard: pa.Table, mail: pa.Table) -> pa.Table:
+            with released():
+                return do(shard, mail)
+
+        return shards.groupBy("shard").cogroup(mail.withColumnRenamed("at", "shard").groupBy("shard")).applyInArrow(run, out)
 
-    anchors = bucketed(shards.groupBy("shard").applyInArrow(_ask_anchors(n_buckets), MESSAGE), _tell_anchors)
+    anchors = bucketed(alone(shards, "shard", _ask_anchors(n_buckets)), _tell_anchors)
     known = bucketed(to_shards(anchors, _ask_phrases(n_buckets), MESSAGE), _tell)
     windows = bucketed(to_shards(known, _ask_windows(n_buckets), MESSAGE), _tell)
     return to_shards(windows, end, schema)
@@ -526,7 +538,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes taken out of text; a character that is cut in two goes whole.
     Every row and every other column stays."""
     names = docs.columns
-    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*names).alias("_row"))
+    others = F.struct(*(n for n in names if n != "text"))  # a text that is sent twice is held twice
+    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), others.alias("_row"))
 
     def finish(shard: pa.Table, texts: Texts, gone: np.ndarray) -> pa.Table:
         at = zip(texts.starts[:-1].tolist(), texts.starts[1:].tolist(), strict=True)

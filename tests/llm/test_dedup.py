@@ -1,6 +1,8 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -244,3 +246,19 @@ def test_alike_is_all_pairs_across_components():
         same = [] if known is None else [(i, j) for i in range(n) for j in range(i) if known[i] == known[j]]
         plain = [(i, j) for i in range(n) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
         assert plain_components(same + alike(sets, 0.8, known), range(n)) == plain_components(same + plain, range(n))
+
+
+def test_passages_hold_texts_once(spark, monkeypatch):
+    """A shard has each text once, and what marks removed bytes takes few bytes for each of text."""
+    sent = []
+    monkeypatch.setattr(R, "_removal", lambda docs, finish, schema: sent.append(docs) or docs.withColumn("_kept", docs["text"]))
+    assert without_repeats(documents(spark)).columns == documents(spark).columns
+    assert "text" not in sent[0].schema["_row"].dataType.names
+
+    text = "".join(map(chr, np.random.default_rng(7).integers(97, 123, 1 << 20)))
+    shard = R.Shard(pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": [text, text]}), R._messages([]))
+    tracemalloc.start()
+    gone = shard.covered()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not gone.any() and peak < 8 * 2 * len(text)
