@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_and_text, materialize, partitions, texts_of
+from .common import bound_batches, id_and_text, materialize, partitions, released, texts_of
 from .wordpieces import encode_words
 
 CAPACITY = 2048
@@ -103,20 +103,21 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
     bound_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, counts = encode_words(texts_of(batch.column("text")), tokenizer_path, end_id)
-            held = memoryview(ids.astype("<u4")).cast("B")
-            n_pieces = -(-counts // capacity)
-            doc = np.repeat(np.arange(len(counts)), n_pieces)
-            start = (np.arange(len(doc)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)) * capacity
-            length = np.minimum(capacity, counts[doc] - start)
-            at = (np.cumsum(counts) - counts)[doc] + start
-            parts = [held[4 * a : 4 * (a + n)] for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-            columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(counts[doc])]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                columns, names = [*columns, pa.array([bytes(p) for p in parts], pa.binary())], [*names, "ids"]
-            yield pa.record_batch(columns, names=names)
+        with released():
+            for batch in batches:
+                ids, counts = encode_words(texts_of(batch.column("text")), tokenizer_path, end_id)
+                held = memoryview(ids.astype("<u4")).cast("B")
+                n_pieces = -(-counts // capacity)
+                doc = np.repeat(np.arange(len(counts)), n_pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)) * capacity
+                length = np.minimum(capacity, counts[doc] - start)
+                at = (np.cumsum(counts) - counts)[doc] + start
+                parts = [held[4 * a : 4 * (a + n)] for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+                columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(counts[doc])]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                if with_ids:
+                    columns, names = [*columns, pa.array([bytes(p) for p in parts], pa.binary())], [*names, "ids"]
+                yield pa.record_batch(columns, names=names)
 
     return id_and_text(docs).mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
 

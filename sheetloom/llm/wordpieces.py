@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -18,6 +19,8 @@ from .common import Texts, ragged
 KEPT_PIECES = 400_000
 #: Strings given to the library at once (its results are large), and words joined to one string.
 AT_ONCE, JOINED = 2000, 100
+#: Bytes of text cut into words together.
+PORTION = 1 << 20
 #: Bytes of a piece that is one pre-token after white space in any tokenizer: Latin letters.
 _LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _LOADED: dict[str, PieceIds] = {}
@@ -162,9 +165,26 @@ def encode_words(texts: Texts, path: str, end_id: int | None = None) -> tuple[np
     another (each with end_id after it, if given) and the number of ids of each.
     """
     encoder = piece_ids(path)
+    parts = [_encode_portion(simpler(part), encoder, end_id) for part in portions(texts)]
+    if len(parts) == 1:
+        return parts[0]
+    ids, counts = zip(*parts, strict=True) if parts else ([np.empty(0, np.uint32)], [np.empty(0, np.int64)])
+    return np.concatenate(ids), np.concatenate(counts)
+
+
+def portions(texts: Texts) -> Iterator[Texts]:
+    """Whole texts, about PORTION bytes together: a list of words takes some ten times their bytes."""
+    starts, i = texts.starts, 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + PORTION, "right")) - 1)
+        yield Texts(texts.data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+        i = j
+
+
+def _encode_portion(texts: Texts, encoder: PieceIds, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     pieces: list[bytes] = []
     ends = []
-    for text in simpler(texts):
+    for text in texts:
         pieces += text.split()
         ends.append(len(pieces))
     ids, lengths = encoder.encode(pieces)

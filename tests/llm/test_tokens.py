@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -168,3 +169,17 @@ def test_joins_that_do_not_agree_are_encoded_anew(monkeypatch):
     library.no_truncation(), library.no_padding()
     assert ids.tolist() == [k for t in held for k in library.encode(t.decode(), add_special_tokens=False).ids] and len(counts) == 4
     assert anew
+
+
+def test_words_are_held_by_portions():
+    """Encoding a batch takes memory for its ids and one portion's words, not for all its words."""
+    rng = np.random.default_rng(11)
+    words = ["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(2000)]
+    column = texts_of(pa.array([" ".join(rng.choice(words, 40_000)) for _ in range(32)]))
+    expected = encode_words(texts_of(pa.array([t.decode() for t in column][:1])), WORD, 1)
+    tracemalloc.start()
+    ids, counts = encode_words(column, WORD, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids[: counts[0]].tolist() == expected[0].tolist() and counts.sum() == len(ids)
+    assert peak - ids.nbytes - counts.nbytes < 10 * len(column.data), peak / len(column.data)
