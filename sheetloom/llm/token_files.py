@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_and_text, materialize, new_path, partitions, texts_of
+from .common import bound_batches, id_and_text, materialize, new_path, partitions, released, texts_of
 from .wordpieces import encode_words, piece_ids
 
 SEQUENCE = 2048
@@ -135,20 +135,21 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str | None
         shard = task.partitionId()
         path = f"{out_dir}/shard-{shard:07d}-{task.taskAttemptId()}.arrow"
         writer, at = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                width = 2 if piece_ids(tokenizer_path).tokenizer.get_vocab_size() <= 1 << 16 else 4
-                writer = ShardWriter(path, width, length)
-            ids, counts = encode_words(texts_of(batch.column("text")), tokenizer_path, end_id)
-            writer.add(ids)
-            starts = at + np.cumsum(counts) - counts
-            at += int(counts.sum())
-            n = batch.num_rows
-            yield pa.record_batch([pa.array(np.full(n, shard, np.int32)), pa.array([path] * n), pa.array(np.full(n, width, np.int32)), batch.column("doc_id"), pa.array(starts), pa.array(counts.astype(np.int64))], names=["shard", "path", "width", "doc_id", "at", "n_tokens"])
-        if writer is not None:
-            writer.close()
+        with released():
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if writer is None:
+                    width = 2 if piece_ids(tokenizer_path).tokenizer.get_vocab_size() <= 1 << 16 else 4
+                    writer = ShardWriter(path, width, length)
+                ids, counts = encode_words(texts_of(batch.column("text")), tokenizer_path, end_id)
+                writer.add(ids)
+                starts = at + np.cumsum(counts) - counts
+                at += int(counts.sum())
+                n = batch.num_rows
+                yield pa.record_batch([pa.array(np.full(n, shard, np.int32)), pa.array([path] * n), pa.array(np.full(n, width, np.int32)), batch.column("doc_id"), pa.array(starts), pa.array(counts.astype(np.int64))], names=["shard", "path", "width", "doc_id", "at", "n_tokens"])
+            if writer is not None:
+                writer.close()
 
     dealt = id_and_text(docs).repartitionByRange(shards or partitions(spark), *order).sortWithinPartitions(*order)
     return materialize(dealt.mapInArrow(write, MANIFEST), "token-manifest")
