@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.udfs import key_of
 from ..plans.options import Options
-from .consolidate import dedup
+from .consolidate import dedup, previews
 from .detect import analyze
 
 MODES = ("default", "default_gated", "aggressive", "aggressive_gated")
@@ -74,9 +74,7 @@ def may_merge(skipped: DataFrame, aggressive_skipped: DataFrame) -> DataFrame:
 
 def preview(sheets: DataFrame, options: Options = Options()) -> DataFrame:
     """What the aggressive run adds to the default one: sheet_id, extra, extra_saved, differs."""
-    one = lambda aggressive, name: dedup(sheets, replace(options, aggressive=aggressive)).where("error IS NULL").select("sheet_id", F.size("applied").alias(f"n_{name}"), F.col("bytes.saved").alias(f"saved_{name}"), F.xxhash64("css_out").alias(f"css_{name}"))
-    both = one(False, "default").join(one(True, "aggressive"), "sheet_id")
-    return both.select("sheet_id", (F.col("n_aggressive") - F.col("n_default")).alias("extra"), (F.col("saved_aggressive") - F.col("saved_default")).alias("extra_saved"), (F.col("css_aggressive") != F.col("css_default")).alias("differs"))
+    return previews(sheets, options)
 
 
 def report(sheets: DataFrame, options: Options = Options()) -> DataFrame:
