@@ -1,6 +1,5 @@
 """What keeps memory, shuffles and time of a query in proportion to its input."""
 
-from pyspark.sql import functions as F
 
 from sheetloom.operators import consolidate, tables
 from sheetloom.operators.report import preview
@@ -35,3 +34,13 @@ def test_preview_joins_nothing(spark):
         plain, more = (consolidate._row(TEXTS[k % len(TEXTS)] or "", Options(aggressive=a), True) for a in (False, True))
         assert told == (len(more["applied"]) - len(plain["applied"]), more["bytes"]["saved"] - plain["bytes"]["saved"], more["css_out"] != plain["css_out"])
     assert got[4][0] == 1 and got[4][2] and not got[0][2]
+
+
+def test_equal_sheets_are_worked_out_once(spark):
+    def rows(css, made=[]):  # noqa: B006 - counts the calls of a worker
+        made.append(css)
+        return [{"n": len(made)}] * (2 if css else 1)
+
+    got = tables.per_sheet(sheets(spark, 70_000).coalesce(1), rows, "sheet_id long, n int").collect()
+    assert len(got) == 20_000 + 50_000 * 2  # null and the empty text have one row
+    assert max(r.n for r in got) <= len(TEXTS) + 140_000 // tables.BATCH_ROWS * 2
