@@ -44,3 +44,11 @@ def test_equal_sheets_are_worked_out_once(spark):
     got = tables.per_sheet(sheets(spark, 70_000).coalesce(1), rows, "sheet_id long, n int").collect()
     assert len(got) == 20_000 + 50_000 * 2  # null and the empty text have one row
     assert max(r.n for r in got) <= len(TEXTS) + 140_000 // tables.BATCH_ROWS * 2
+
+
+def test_dedup_of_equal_sheets(spark):
+    for options in (Options(), Options(savings_only=True)):
+        for r in consolidate.dedup(sheets(spark), options).collect():
+            told = consolidate._row(TEXTS[r.sheet_id % len(TEXTS)] or "", options, True)
+            assert (r.css_out, r.error) == (told.get("css_out"), told.get("error"))
+            assert [c.key for c in r.applied or ()] == [c["key"] for c in told.get("applied", ())]
