@@ -52,3 +52,12 @@ def test_dedup_of_equal_sheets(spark):
             told = consolidate._row(TEXTS[r.sheet_id % len(TEXTS)] or "", options, True)
             assert (r.css_out, r.error) == (told.get("css_out"), told.get("error"))
             assert [c.key for c in r.applied or ()] == [c["key"] for c in told.get("applied", ())]
+
+
+def test_nodes_of_equal_sheets(spark):
+    got = {}
+    for r in tables.nodes(sheets(spark)).orderBy("sheet_id", "node_id").collect():
+        got.setdefault(r.sheet_id, []).append(r)
+    for k in range(300):
+        told = tables.node_rows(TEXTS[k % len(TEXTS)] or "", False)
+        assert [(r.node_id, r.kind, r.decl_key, r.selectors, r.scope_key) for r in got.get(k, [])] == [(t["node_id"], t["kind"], t.get("decl_key"), t.get("selectors"), t.get("scope_key")) for t in told]
