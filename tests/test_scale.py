@@ -72,3 +72,7 @@ def test_blocked_groups_deals_out_once(spark, monkeypatch):
     assert one_exchange(QUERIES["blocked_groups"](spark, SMALL))
     monkeypatch.setattr(tables, "DEALT_BYTES", 1 << 10)
     assert QUERIES["blocked_groups"](spark, SMALL).rdd.getNumPartitions() > 50
+
+
+def test_safe_runs_deals_out_once(spark):
+    assert one_exchange(QUERIES["safe_runs"](spark, SMALL))
