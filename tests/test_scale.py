@@ -1,10 +1,12 @@
 """What keeps memory, shuffles and time of a query in proportion to its input."""
 
 
-from sheetloom.operators import consolidate, tables
+from pyspark.sql import functions as F
+
+from sheetloom.operators import consolidate, safety, tables
 from sheetloom.operators.report import preview
 from sheetloom.plans.options import Options
-from sheetloom.plans.queries import QUERIES
+from sheetloom.plans.queries import QUERIES, declaration_view
 
 from .conftest import SMALL
 
@@ -76,3 +78,20 @@ def test_blocked_groups_deals_out_once(spark, monkeypatch):
 
 def test_safe_runs_deals_out_once(spark):
     assert one_exchange(QUERIES["safe_runs"](spark, SMALL))
+
+
+def test_group_blockers_deals_out_once(spark):
+    assert one_exchange(QUERIES["group_blockers"](spark, SMALL))
+
+
+def test_scopes_are_cut_nowhere(spark):
+    decls = declaration_view(spark, SMALL).withColumn("scope_key", F.lit("one"))
+    over = safety.overlap_table(spark)
+    told = []
+    try:
+        for n in ("10000", "3"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            told.append([sorted(map(tuple, f(decls, over).collect())) for f in (safety.fences, safety.runs, safety.blockers)])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert told[0] == told[1] and all(told[0])
