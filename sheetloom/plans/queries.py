@@ -130,14 +130,14 @@ def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id AS sheet_id, '.a' || event_id || ', .b' AS selector, '@layer (anonymous ' || row_number() OVER (PARTITION BY user_id ORDER BY event_id) || ')' AS label FROM events WHERE event_type = 'click'")
 def anonymous_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules(nodes(_style_sheets(spark, sf_dir))).where("scope_label <> 'root'")
+    found = rules(nodes(_style_sheets(spark, sf_dir), kinds=("rule",))).where("scope_label <> 'root'")
     return found.select("sheet_id", "selector", F.col("scope_label").alias("label"))
 
 
 @query(f"WITH {_DECLS_SQL}, placed AS (SELECT DISTINCT sheet_id, scope_key, rule_pos FROM decls) SELECT rule_pos, CAST(row_number() OVER (PARTITION BY sheet_id, scope_key ORDER BY rule_pos) AS INTEGER) AS place FROM placed")
 def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules in the order of their lines, as parsing numbers them."""
-    found = rules(nodes(synthetic_sheets(spark, sf_dir)))
+    found = rules(nodes(synthetic_sheets(spark, sf_dir), kinds=("rule",)))
     place = F.row_number().over(Window.partitionBy("sheet_id").orderBy("rule_pos"))
     return found.select(F.regexp_extract("selector", r"\d+", 0).cast("long").alias("rule_pos"), place.alias("place"))
 
@@ -145,7 +145,7 @@ def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_DECLS_SQL}, {_GROUPS_SQL} SELECT sheet_id, scope_key, count(*) AS n FROM groups GROUP BY sheet_id, scope_key")
 def findings_by_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate findings of sheets whose scopes are at-rules, by scope."""
-    found = detect.analyze(synthetic_sheets(spark, sf_dir, whole=True)).where("kind = 'duplicate'")
+    found = detect.analyze(synthetic_sheets(spark, sf_dir, whole=True), kinds=("duplicate",))
     return found.groupBy("sheet_id", F.regexp_extract("scope", r"^@media (.*)$", 1).alias("scope_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -523,5 +523,5 @@ def at_rule_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders")
     a, b = ((F.col(c) % 9).cast("string") for c in ("o_custkey", "o_orderkey"))
     css = F.concat(F.lit("@font-face { src: a"), a, F.lit("; src: a"), b, F.lit("; }"))
-    found = detect.analyze(o.select(F.col("o_orderkey").alias("sheet_id"), css.alias("css"))).where("kind = 'redundant'")
+    found = detect.analyze(o.select(F.col("o_orderkey").alias("sheet_id"), css.alias("css")), kinds=("redundant",))
     return found.select("sheet_id", "scope", "key", (F.size("occurrences") + 1).alias("n"))

@@ -6,7 +6,7 @@ import gc
 from pyspark.sql import functions as F
 
 from sheetloom.functions.tree import Node
-from sheetloom.operators import consolidate, safety, tables
+from sheetloom.operators import consolidate, detect, safety, tables
 from sheetloom.operators.report import preview
 from sheetloom.plans.options import Options
 from sheetloom.plans.queries import QUERIES, declaration_view
@@ -111,3 +111,23 @@ def test_conventions_hold_one_tree(spark, monkeypatch):
         held[0](".a, .b{top:0}\n" * 200)
     gc.collect()
     assert sum(isinstance(x, Node) for x in gc.get_objects()) == before
+
+
+ODD = [
+    *(t for t in TEXTS if t),
+    ".a { color: RED; }\n.b { color: red; }\n.c { margin: 0px; }\n.d { margin: 0; margin: 0; }\n@font-face { src: x; src: x; }\n.a { top: 0; }\n",
+    "@media print { .a { top: 0 } }\n.x{top:0}@media  print { .b { top: 0 } .a { top:0;top:0px } } @layer { .x { top: 0 } }\n@layer { .y { top: 0 } .x,.y{} .y , .x{left:0;left:0} }",
+    ".h { top:0; &:hover { top: 0 } top: 0; &:focus { top: 0; @media print { top: 0; top: 0 } } &:hover{} }",
+    "﻿.a::-webkit-x{top:0;top:0}.a::-webkit-x{top:0}.b{top:0 !important;--X:1;--X:1}.c{TOP:0!important;rotate:90deg;rotate:100grad}",
+    "@page { margin: 0; @top-left { content: 'a'; content: 'a' } margin: 0 } /* ; */ .b[x=';']{left:0;;left:0}",
+    ".b{top:0}" * 3 + ".c{--a:{b:c};--a:{b:c}}" * 2,
+]
+
+
+def test_findings_of_a_sheet_are_those_of_its_nodes(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "sheet_id long, css string")
+    for options in (Options(), Options(aggressive=True), Options(ignore_selectors=("b",))):
+        told = [sorted(map(str, f.collect())) for f in (detect.analyze(df, options), detect.findings(tables.nodes(df, options), options))]
+        assert told[0] == told[1] and len(told[0]) > 15
+    assert detect.analyze(df, kinds=("redundant",)).count() == detect.analyze(df).where("kind = 'redundant'").count() > 0
+    assert not any(x in plan(QUERIES["findings_synthetic"](spark, SMALL)) for x in ("Window", "Join", "InMemoryRelation"))
