@@ -2,10 +2,12 @@
 
 
 import gc
+import re
 
 from pyspark.sql import functions as F
 
-from sheetloom.functions.tree import Node
+from sheetloom.functions import selectors, tree
+from sheetloom.functions.tree import Node, parse
 from sheetloom.operators import consolidate, detect, safety, tables
 from sheetloom.operators.report import preview
 from sheetloom.plans.options import Options
@@ -131,3 +133,20 @@ def test_findings_of_a_sheet_are_those_of_its_nodes(spark):
         assert told[0] == told[1] and len(told[0]) > 15
     assert detect.analyze(df, kinds=("redundant",)).count() == detect.analyze(df).where("kind = 'redundant'").count() > 0
     assert not any(x in plan(QUERIES["findings_synthetic"](spark, SMALL)) for x in ("Window", "Join", "InMemoryRelation"))
+
+
+def test_plain_text_is_read_as_any_other(monkeypatch):
+    made = [*(t for t in ODD if t != "a{"), "a\n{\nb:c\n;\n\n--x:{;};d:url(;)}", ".a:hover>b{}", "*{*zoom:1}@import url(x);@media  x  {a{b:c}}"]
+    texts = ["*", ".a", "a>b", "a:not", "a.b#c+d~e", "-x", "..", "é", "a b", "a,b", "a ", "[x]", "a/**/b"]
+    fast = [(n.kind, n.text, n.name, n.between, n.line, n.column) for t in made for n in parse(t).walk()], [selectors._list.__wrapped__(t) for t in texts]
+    monkeypatch.setattr(tree, "_SIMPLE", re.compile("(?!)"))
+    monkeypatch.setattr(selectors, "_PLAIN", re.compile("(?!)"))
+    slow = [(n.kind, n.text, n.name, n.between, n.line, n.column) for t in made for n in parse(t).walk()], [selectors._list.__wrapped__(t) for t in texts]
+    assert fast == slow
+
+
+def test_source_order_sends_rules_alone(spark):
+    assert {r["kind"] for r in tables.node_rows(ODD[5], False, ("rule",))} == {"rule"}
+    df = spark.createDataFrame(list(enumerate(ODD)), "sheet_id long, css string")
+    told = [sorted(map(str, tables.rules(tables.nodes(df, kinds=k)).collect())) for k in ((), ("rule",))]
+    assert told[0] == told[1] and told[0]
